@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import format_copies
+from lexiloom.llm import format_copies, residue
 
 QUERIES: dict = {}
-for _module in (format_copies,):
+for _module in (format_copies, residue):
     QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}
