@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import format_copies, residue
+from lexiloom.llm import format_copies, lookalikes, residue
 
 QUERIES: dict = {}
-for _module in (format_copies, residue):
+for _module in (format_copies, residue, lookalikes):
     QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}
