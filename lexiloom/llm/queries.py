@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import format_copies, lookalikes, residue
+from lexiloom.llm import format_copies, lookalikes, mojibake, residue
 
 QUERIES: dict = {}
-for _module in (format_copies, residue, lookalikes):
+for _module in (format_copies, residue, lookalikes, mojibake):
     QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}
