@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import format_copies, lookalikes, mojibake, residue
+from lexiloom.llm import format_copies, lookalikes, mojibake, pair_defects, residue
 
 QUERIES: dict = {}
-for _module in (format_copies, residue, lookalikes, mojibake):
+for _module in (format_copies, residue, lookalikes, pair_defects, mojibake):
     QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}

@@ -3,9 +3,9 @@
 Method: positive-unlabelled naive Bayes, fitted by expectation-maximisation from trusted residue (the short list below
 and what its patterns find in a bounded sample) against everything else, unlabelled. Two such models score the
 passages of a record: one its sentences, one its bracketed spans. The record's decision adds them up: it is residue if a
-span is an unfilled slot, or if sentences of residue hold most of its letters.
+span is an unfilled slot, or if sentences of residue hold about half of its letters (SHARE).
 
-Defined results: null and blank texts are no cases. A record whose sentences are half residue or less is none. Runtime
+Defined results: null and blank texts are no cases. A record of which residue holds less than SHARE is none. Runtime
 tokens of protected_patterns are removed first and never count. A target that renders a source of the same nature is
 none. Repeated rows give one case per key; whole texts are read, of any length (reading stops once the decision is
 certain).
@@ -26,11 +26,13 @@ from lexiloom.llm.common import map_columns, spread, table
 #: Bound on the sample that the models are fitted on, in records of each table.
 SAMPLE_RECORDS = 4000
 #: Weight of a trusted passage against an unlabelled one, iterations, least log-odds, least share of a record's letters.
-TRUST, ROUNDS, MARGIN, SHARE = 4.0, 4, 1.0, 0.5
+TRUST, ROUNDS, MARGIN, SHARE = 4.0, 4, 1.0, 0.46
 #: Both classes are smoothed towards the words of all passages with so many counts; log-odds of a word never seen.
 PRIOR, UNKNOWN = 60.0, -2.0
 #: Sum of positive log-odds, and its share of all, from which a source counts as being about the same as a target of residue.
 ALIKE, ALIKE_SHARE = 6.0, 0.3
+#: Characters of a span whose trusted wording decides alone.
+NOTE = 40
 
 # Trusted sentences of residue.
 TRUSTED = """
@@ -53,6 +55,7 @@ placeholder text placeholder text
 your text goes here text goes here
 dummy copy here dummy copy here
 test test test test
+asdf qwer asdf qwer
 Lỗi 404: không tìm thấy trang
 Quay về trang đầu.
 Máy chủ không phản hồi sau 0 giây, tham chiếu hexid
@@ -100,23 +103,23 @@ Server sedang sibuk, silakan coba lagi nanti
 Koneksi telah berakhir, silakan masuk lagi
 """.strip().splitlines()
 
-# Words of filler text that make a sentence trusted.
-FILLER = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
+# Words of filler text, and one phrase over and over, make a sentence trusted.
+FILLER = re.compile(r"\b(?:lorem|ipsum)\b|^\W*(.{2,24}?)(?:[\s,，.。;；]*\1){2,}\W*$", re.I)
 
 # Spans that are trusted to be slots, by form or by wording.
-SLOT_FORM = re.compile(r"^(?:\{\{.*\}\}|\$\{.*\}|<%.*%>|<<.*>>|\[\[.*\]\]|%%.*%%|__[A-Za-z].*__|#[A-Z][A-Z_]{3,}#|TODO|TBD|FIXME|X{4,}|_{4,}|STR_.*)$", re.S)
+SLOT_FORM = re.compile(r"^(?:\{\{.*\}\}|\$\{.*\}|<%.*%>|<<.*>>|\[\[.*\]\]|%%.*%%|__[A-Za-z].*__|#[A-Z][A-Z_]{3,}#|@@.*@@|TODO|TBD|FIXME|X{4,}|x{3,}(?:_x{3,})+|_{4,}|STR_.*)$", re.S)
 SLOT_WORDS = re.compile(
     r"\b(?:insert|your text|text here|goes here|item name|translate me|tbd|todo|placeholder|untranslated)\b|chèn .* tại đây|điền nội dung|nhập (?:ngày|tên|nội dung)|mô tả ở đây|tên vật phẩm|cần dịch|chưa dịch"
     r"|待填写|待翻译|待补|请输入|此处插入|占位|物品名称|未翻译|isi nama|masukkan|teks anda|nama barang|belum diterjemahkan|di sini",
     re.I,
 )
 SPANS = re.compile(
-    r"\{\{[^{}]{1,80}\}\}|\$\{[^{}]{1,80}\}|\{[^{}]{1,80}\}|<%[^<>]{1,80}%>|<<[^<>]{1,80}>>|<[^<>\n]{1,80}>|\[\[[^\[\]]{1,80}\]\]|\[[^\[\]\n]{1,80}\]"
+    r"\{\{[^{}]{1,80}\}\}|\$\{[^{}]{1,80}\}|\{[^{}]{1,80}\}|<%[^<>]{1,80}%>|<<[^<>]{1,80}>>|<[^<>{}\n]{1,80}>|\[\[[^\[\]]{1,80}\]\]|\[[^\[\]\n]{1,80}\]"
     r"|【[^【】\n]{1,80}】|《[^《》\n]{1,80}》|\([^()\n]{1,80}\)|（[^（）\n]{1,80}）|%%[A-Za-z][A-Za-z_.]{2,40}%%|__[A-Za-z][A-Za-z_.]{1,40}__|#[A-Z][A-Z_.]{2,40}#"
-    r"|STR_[A-Z_]+_?\d*|\b(?:TODO|TBD|FIXME)\b|(?<!\w)X{4,}(?!\w)|(?<![A-Za-z])X{4,}(?![A-Za-z])|_{4,}"
+    r"|STR_[A-Z_]+_?\d*|(?<![A-Za-z])(?:TODO|TBD|FIXME|X{4,}|x{3,}(?:_x{3,})+)(?![A-Za-z])|@@[A-Za-z][A-Za-z_. ]{1,40}@@|_{4,}"
 )
 #: Anything that SPANS can begin with: texts without it need no search.
-SPAN_HINT = re.compile(r"[{<\[【《(（]|%%|__|#[A-Z]|STR_|TODO|TBD|FIXME|XXXX")
+SPAN_HINT = re.compile(r"[{<\[【《(（]|%%|__|@@|#[A-Z]|STR_|TODO|TBD|FIXME|XXXX|xxx_")
 TOKEN = re.compile(r"[㐀-鿿]+|[^\W\d_]+|\d+")
 HEXID = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f]|\d{9})[0-9a-f]{8,9}(?![0-9A-Za-z])")
 PATH = re.compile(r"(?<!\w)/\w+/\w+")
@@ -197,20 +200,25 @@ class Model:
         known = {tuple(p) for p in pos}
         for text in texts:
             clean = self.clean(text)
-            for s in self.spans(clean):
+            for s in self.spans(text):
                 (slot if SLOT_FORM.match(s) or SLOT_WORDS.search(s) else span).append(span_tokens(s))
             for s in sentences(clean):
                 t = tokens(s)
                 (pos if tuple(t) in known or FILLER.search(s) else un).append(t)
+            if FILLER.search(clean) and len(clean) < 400:
+                pos.append(tokens(clean))
         slot += [span_tokens(s) for s in ("{{item_name}}", "${player}", "<%= date %>", "[[guild]]", "%%PRICE%%", "__SERVER__", "#REWARD#", "TODO", "TBD", "XXXX", "____", "{item_name}", "{user.nick}", "<insert name here>")]
         self.sentence, self.span = fit(pos, un), fit(slot, span)
 
     def clean(self, text: str) -> str:
         return self.protected.sub(" ", text) if self.protected else text
 
-    @staticmethod
-    def spans(clean: str) -> list[str]:
-        return SPANS.findall(clean) if SPAN_HINT.search(clean) else []
+    def spans(self, text: str) -> list[str]:
+        """Bracketed spans and markers of a text as stored, without those that are or only hold runtime tokens."""
+        if not SPAN_HINT.search(text):
+            return []
+        found = SPANS.findall(text)
+        return [s for s in found if SLOT_FORM.match(s) or any(map(str.isalnum, self.clean(s)))] if found else found
 
     @staticmethod
     def odds(fitted: tuple[dict[str, float], float], toks: list[str]) -> float:
@@ -218,8 +226,8 @@ class Model:
         unknown = words.get("", 0.0)
         return prior + sum(words.get(w, unknown) for w in toks)
 
-    def slot(self, clean: str) -> bool:
-        return any(bool(SLOT_FORM.match(s)) or self.odds(self.span, span_tokens(s)) > MARGIN for s in self.spans(clean))
+    def slot(self, text: str) -> bool:
+        return any(bool(SLOT_FORM.match(s)) or (len(s) <= NOTE and bool(SLOT_WORDS.search(s))) or self.odds(self.span, span_tokens(s)) > MARGIN for s in self.spans(text))
 
     def whole(self, clean: str) -> bool:
         """Whether residue holds more than SHARE of the letters; stops as soon as content holds the rest."""
@@ -240,8 +248,8 @@ class Model:
         if not text or not text.strip():
             return None
         clean = self.clean(text)
-        if self.slot(clean):
-            if source and sorted(self.spans(self.clean(source))) == sorted(self.spans(clean)):
+        if self.slot(text):
+            if source and sorted(self.spans(source)) == sorted(self.spans(text)):
                 return None
             return "slot"
         if self.whole(clean) and not (source and source.strip() and self.alike(self.clean(source))):
@@ -273,13 +281,13 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     docs, memory = table(spark, sf_dir, "documents"), table(spark, sf_dir, "translation_memory")
     picked = sample(docs.select("doc_id", "text"), "doc_id", SAMPLE_RECORDS).select("text").unionByName(sample(memory.select("tm_id", "target_text"), "tm_id", SAMPLE_RECORDS).select(F.col("target_text").alias("text")))
     texts = sorted(r.text for r in picked.where("text is not null").collect())
-    protected = [r.pattern for r in table(spark, sf_dir, "protected_patterns").where("pattern is not null").orderBy("priority", "name").collect()]
-    return Model(texts, [_stored(p) for p in protected])
+    return Model(texts, protected_patterns(spark, sf_dir))
 
 
-def _stored(pattern: str) -> str:
-    """The patterns are matched without regard to case, as copies of a record may be written in capitals."""
-    return f"(?i:{pattern})"
+def protected_patterns(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The patterns of runtime tokens, without regard to case, as copies of a record may be written in capitals."""
+    rows = table(spark, sf_dir, "protected_patterns").where("pattern is not null").orderBy("priority", "name").collect()
+    return [f"(?i:{r.pattern})" for r in rows]
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
