@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import format_copies, lookalikes, mojibake, pair_defects, residue
+from lexiloom.llm import format_copies, languages, lookalikes, mojibake, packing, pair_defects, residue
 
 QUERIES: dict = {}
-for _module in (format_copies, residue, lookalikes, pair_defects, mojibake):
+for _module in (format_copies, residue, lookalikes, pair_defects, mojibake, languages, packing):
     QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}
