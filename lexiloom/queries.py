@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lexiloom.plans import records
+
+QUERIES = dict(records.QUERIES)
+SQL = dict(records.SQL)
