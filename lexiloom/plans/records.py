@@ -255,7 +255,7 @@ def derived_status(spark, d):
 )
 def faceted_page(spark, d):
     r = read(spark, d, "text_records").select("id", "pak", "source_file", "line_no", "original", "category").distinct()
-    return r.where((F.col("category") == "技能") & F.contains(F.lower("original"), F.lit("tâm"))).orderBy("pak", "source_file", "line_no", "id").offset(200).limit(200).select("id", "line_no")
+    return r.where((F.col("category") == "技能") & F.contains(F.lower("original"), F.lit("tâm"))).orderBy("pak", "source_file", "line_no", "id").offset(5).limit(50).select("id", "line_no")
 
 
 # Aggregations (2.5).
