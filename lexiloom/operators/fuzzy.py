@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.functions import text as X
 
@@ -26,7 +27,7 @@ def grams(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(places, lambda i: F.substr(c, i, n)), lambda g: F.length(g) == n))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; only pairs that share grams get here."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

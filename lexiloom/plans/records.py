@@ -251,7 +251,7 @@ def derived_status(spark, d):
 
 
 @query(
-    "select id, line_no from (select distinct id, pak, source_file, line_no, original, category from text_records) where category = '技能' and contains(lower(original), 'tâm') order by pak, source_file, line_no, id limit 200 offset 200"
+    "select id, line_no from (select distinct id, pak, source_file, line_no, original, category from text_records) where category = '技能' and contains(lower(original), 'tâm') order by pak, source_file, line_no, id limit 50 offset 5"
 )
 def faceted_page(spark, d):
     r = read(spark, d, "text_records").select("id", "pak", "source_file", "line_no", "original", "category").distinct()

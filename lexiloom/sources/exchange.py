@@ -34,7 +34,7 @@ def split(merged: DataFrame, results: DataFrame, text: str = "text") -> DataFram
 
 
 def point_update(rows: DataFrame, key: str, wanted: str, column: str, value: str) -> DataFrame:
-    """One column of the rows with a key, whatever its case; ``n_hits`` in an observation must not be zero."""
+    """One column of the rows with a key, whatever its case; a key that no row has is an error."""
     hit = F.lower(key) == F.lit(wanted.lower())
     if rows.where(hit).isEmpty():
         raise KeyError(wanted)

@@ -162,15 +162,17 @@ def patch(content: bytes, suffix: str, updates: dict[tuple[int, int], bytes]) ->
 def write_back(files: DataFrame, updates: DataFrame) -> DataFrame:
     """K4, K5: (path, content) of the files that updates (path, line_no, col_no, text) change. A cogroup holds one file."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    left = files.select("path", suffix.alias("suffix"), "content").join(updates.select("path").distinct(), "path", "left_semi")
+    new_cells = updates.toDF(*[f"u_{c}" for c in updates.columns])
+    wanted = new_cells.select(F.col("u_path").alias("path")).distinct()
+    left = files.select("path", suffix.alias("suffix"), "content").join(wanted, "path", "left_semi")
 
     def run(f: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
         if f.empty or u.empty:
             return pd.DataFrame({"path": [], "content": []})
-        new = {(int(r.line_no), int(r.col_no)): codecs.encode_source(r.text) for r in u.itertuples()}
+        new = {(int(r.u_line_no), int(r.u_col_no)): codecs.encode_source(r.u_text) for r in u.itertuples()}
         return pd.DataFrame({"path": [f["path"].iat[0]], "content": [patch(bytes(f["content"].iat[0]), f["suffix"].iat[0], new)]})
 
-    return left.groupBy("path").cogroup(updates.select("path", "line_no", "col_no", "text").groupBy("path")).applyInPandas(run, "path string, content binary")
+    return left.groupBy("path").cogroup(new_cells.select("u_path", "u_line_no", "u_col_no", "u_text").groupBy("u_path")).applyInPandas(run, "path string, content binary")
 
 
 def structure_issues(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,0 +1,249 @@
+"""Operators on small frames: text functions, memory, linkage, deduplication, incremental state, sources."""
+
+from __future__ import annotations
+
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.functions import external, replies
+from lexiloom.functions import text as X
+from lexiloom.operators import dedup, fuzzy, linkage, memory
+from lexiloom.sources import archive, exchange, nrv2b, units, workbook
+from lexiloom.streaming import incremental
+
+
+def values(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_keys_and_exchange_text(spark):
+    df = spark.createDataFrame([("$ a  b<\\n>c \r\n d",), (None,), ("",)], "s string")
+    got = [r[0] for r in df.select(X.normal_key(F.col("s"))).collect()]
+    assert got == ["a b\nc\nd", "", ""]
+    row = spark.createDataFrame([("x\ny", "$src")], "t string, s string").select(X.internal_text(F.col("t"), F.col("s"))).first()
+    assert row[0] == "$x<\\n>y"
+
+
+def test_predicates(spark):
+    rows = [("Nhiệm vụ mới", "vi"), ("新任务", "zh"), ("新任务 của ta", "mixed"), ("plain", "other"), (None, "other")]
+    df = spark.createDataFrame(rows, "s string, k string")
+    assert all(r[0] == r[1] for r in df.select(X.language_bucket(F.col("s")), "k").collect())
+    df = spark.createDataFrame([("12, 3",), ("a",), ("tên",), ("TaskTips",), ("hello world",), (None,)], "s string")
+    assert [r[0] for r in df.where(X.is_candidate(F.col("s"))).collect()] == ["tên", "TaskTips", "hello world"]
+    df = spark.createDataFrame([('{"a": 1}',), ("# color: red;",), ("=SUM(A1)",), ("local x = {1}",), ("Tên tôi",), ("ÃÂ loi",)], "s string")
+    assert [r[0] for r in df.where(~X.is_structural(F.col("s"))).collect()] == ["Tên tôi"]
+    df = spark.createDataFrame([("\\spr\\a.spr",), ("icon.png",), ("a/b/c",), ("Tên.",)], "s string")
+    assert [r[0] for r in df.where(~X.is_resource_reference(F.col("s"))).collect()] == ["Tên."]
+    df = spark.createDataFrame([("TaskTitle",), ("ImageFile",), ("map_id",), ("",)], "s string")
+    assert [r[0] for r in df.where(X.is_visible_key(F.col("s"))).collect()] == ["TaskTitle"]
+
+
+def test_tokens_in_order(spark):
+    s = "Dùng %s <c=red>x</c> ${a} {0} #d1+ 3/7 \\spr\\a.spr @"
+    got = spark.createDataFrame([(s,)], "s string").select(X.protected_tokens(F.col("s"))).first()[0]
+    assert got == ["%s", "<c=red>", "</c>", "${a}", "{0}", "#d1+", "3/7", "\\spr\\a.spr", "@"]
+
+
+def test_lookup_prefers_trusted_memory(spark):
+    tm = spark.createDataFrame([(1, "a", "A1", "manual", 1), (2, "a", "A2", "seed", 2), (3, "b", "B", "test", 3), (4, "c", None, "manual", 1)], "tm_id long, source_text string, target_text string, quality string, updated_at long")
+    gl = spark.createDataFrame([(1, "b", "GB", "exact"), (2, "a", "GA", "exact"), (3, "d", "", "exact"), (4, "e", "E", "term")], "gloss_id long, source string, target string, mode string")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "k string")
+    assert values(memory.lookup(rows, "k", tm, gl).fillna("-"), "k", "target", "engine") == [("a", "A2", "tm:seed"), ("b", "GB", "glossary"), ("c", "-", "-"), ("d", "-", "-"), ("e", "-", "-")]
+    wrapped = memory.lookup_wrapped(spark.createDataFrame([("<b> a </b>",)], "s string"), "s", tm, gl)
+    assert wrapped.first()["target"] == "<b> A2 </b>"
+
+
+def test_queue_states(spark):
+    recs = [("p", "1", "a", None, "vi"), ("p", "2", "a", "a", "vi"), ("p", "3", "中", None, "zh"), ("p", "4", "译", "b", "vi"), ("p", "5", "c %s", None, "vi"), ("p", "6", "z", None, None), ("p", "7", None, None, None)]
+    recs = spark.createDataFrame(recs, "pak string, id string, original string, source_original string, language string")
+    tm = spark.createDataFrame([(1, "a", "甲", "manual", 1), (2, "c %s", "丙", "manual", 1)], "tm_id long, source_text string, target_text string, quality string, updated_at long")
+    gl = spark.createDataFrame([], "gloss_id long, source string, target string, mode string")
+    q = memory.build_queue(recs, tm, gl)
+    assert values(q, "source_key", "status", "occurrence_count") == [("a", "tm_ready", 2), ("b", "completed", 1), ("c %s", "review", 1), ("z", "pending", 1), ("中", "source_zh", 1)]
+
+
+def test_upsert_and_learning(spark):
+    base = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, t int, v string")
+    new = spark.createDataFrame([("a", 1, "x2"), ("c", 0, "z")], "k string, t int, v string")
+    assert values(memory.upsert(base, new, "k", "t"), "k", "v") == [("a", "x2"), ("b", "y"), ("c", "z")]
+    recs = spark.createDataFrame([("p", "1", "甲", "a"), ("p", "2", "乙", "a"), ("p", "3", "b", "b")], "pak string, id string, original string, source_original string")
+    assert values(memory.learnable(recs), "source_key", "target", "n_more", "in_conflict") == [("a", "甲", 1, True)]
+    df = spark.createDataFrame([("a %s", "甲 %s"), ("a %s", "甲"), ("a", "a"), ("", "x")], "s string, t string")
+    assert [r[0] for r in df.select(memory.acceptable(F.col("s"), F.col("t"))).collect()] == [True, False, False, False]
+
+
+RECORD = "id string, pak string, source_file string, file_hash string, line_no int, col_no int, key_name string, original string"
+
+
+def table(spark, rows, h="H"):
+    return spark.createDataFrame([(i, "p", f"0_{h}.tsv", h, line, col, key, text) for i, line, col, key, text in rows], RECORD)
+
+
+def test_linkage_methods(spark):
+    left = table(spark, [("1", 2, 1, "k1", "R1"), ("2", 2, 2, "k2", "tên"), ("3", 3, 1, "k3", "R2"), ("4", 3, 2, "k3", "áo")])
+    right = table(spark, [("a", 5, 1, "k1", "R1"), ("b", 5, 2, "k2", "名"), ("c", 6, 1, "k3", "R2"), ("d", 6, 2, "k3", "衣"), ("e", 3, 2, "x", "错"), ("f", 3, 2, "x", "误")])
+    assert values(linkage.unique_locator(left, right), "id", "target") == []  # two values at one place
+    assert values(linkage.primary_key_join(left, right), "id", "target") == [("1", "R1"), ("2", "名"), ("3", "R2"), ("4", "衣")]
+    assert values(linkage.key_join(left, right), "id", "target") == [("1", "R1"), ("2", "名")]
+    assert values(linkage.key_occurrence_join(left, right), "id", "target") == [("1", "R1"), ("2", "名"), ("3", "R2"), ("4", "衣")]
+
+
+def test_gap_and_ordinal(spark):
+    left = table(spark, [("1", 1, 1, "", "x"), ("2", 2, 1, "", "tên"), ("3", 3, 1, "", "y")])
+    right = table(spark, [("a", 11, 1, "", "x"), ("b", 12, 1, "", "名"), ("c", 13, 1, "", "y")])
+    anchors = spark.createDataFrame([("H", 1, 11), ("H", 3, 13), ("H", 30, 60)], "file_hash string, l_line int, r_line int")
+    assert values(linkage.gap_join(anchors, left, right), "id", "target") == [("2", "名")]
+    assert values(linkage.ordinal_join(left, right), "id", "target") == [("1", "x"), ("2", "名"), ("3", "y")]
+
+
+def test_selection_stops_at_conflicts(spark):
+    c = spark.createDataFrame([("1", "tsv_primary_key", "a"), ("1", "tsv_primary_key", "b"), ("1", "strict_locator", "c"), ("2", "strict_locator", "d"), ("2", "exact_text_memory", "e")], "id string, method string, target string")
+    assert values(linkage.select_candidates(c).fillna("-"), "id", "method", "target", "n_targets") == [("1", "tsv_primary_key", "-", 2), ("2", "strict_locator", "d", 1)]
+
+
+def test_inventory_diff_and_sections(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 1), ("w", None)], "name string, size int")
+    b = spark.createDataFrame([("x", 2), ("z", 1), ("w", None)], "name string, size int")
+    assert values(linkage.inventory_diff(a, b, "name", ["size"]), "name", "state") == [("x", "changed"), ("y", "removed"), ("z", "added")]
+    lines = spark.createDataFrame([("f", 1, "a=1"), ("f", 2, "[S]"), ("f", 3, "b=1")], "source_file string, line_no int, line string")
+    assert values(linkage.section_lines(lines).fillna("-"), "line_no", "section") == [(1, "-"), (2, "S"), (3, "S")]
+
+
+def test_dedup_fan_out_and_votes(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, t string")
+    u = dedup.unique_texts(rows, "t", "id")
+    assert values(u, "text", "uses", "first_ord") == [("a", 2, 1), ("b", 1, 3)]
+    out = dedup.fan_out(dedup.occurrences(rows, "t", ["id"]), u.where("text = 'a'").select("content_id", F.lit("A").alias("target")))
+    assert values(out.fillna("-"), "id", "target") == [(1, "A"), (2, "A"), (3, "-")]
+    votes = spark.createDataFrame([("k", "x", 3), ("k", "y", 1), ("k", "y", 2), ("k", "x", 4)], "k string, v string, ord int")
+    assert dedup.majority(votes, "k", "v").first()["v"] == "x" and dedup.majority(votes, "k", "v", "text_desc").first()["v"] == "y" and dedup.majority(votes, "k", "v", "first").first()["v"] == "y"
+
+
+def test_merge_split_and_buckets(spark):
+    rows = spark.createDataFrame([("b", 1, "x"), ("a", 2, "y"), ("a", 1, "z")], "file string, id int, text string")
+    m = dedup.merge_tree(rows, "file", "id")
+    assert values(m, "merged_id", "file", "id") == [(1, "a", 1), (2, "a", 2), (3, "b", 1)]
+    back = dedup.split_back(m, spark.createDataFrame([(2, "Y")], "merged_id long, target string"), "text")
+    assert values(back, "file", "id", "text") == [("a", 1, "z"), ("a", 2, "Y"), ("b", 1, "x")]
+    rows = spark.createDataFrame([("f", i, "t" * n) for i, n in enumerate((10, 10, 500, 10), 1)], "file string, id long, text string")
+    assert values(dedup.greedy_buckets(rows, "file", "id", "text", 2, 200), "ord", "bucket") == [(1, 0), (2, 0), (3, 1), (4, 2)]
+
+
+def test_multiset_difference(spark):
+    df = spark.createDataFrame([(["a", "b", "a"], ["a", "c"])], "x array<string>, y array<string>")
+    assert sorted(df.select(dedup.multiset_difference(F.col("x"), F.col("y"))).first()[0]) == ["a", "b"]
+
+
+def test_fuzzy_margin(spark):
+    idx = spark.createDataFrame([("前往安万寨寻找水后领取第一件枪",), ("前往安万寨寻找水后领取第一件刀",), ("铁龙的马比月黑驿站的马快",)], "value string")
+    q = spark.createDataFrame([("铁龙的马比月黑驿站的马更快",), ("前往安万寨寻找水后领取第一件剑",)], "query string")
+    assert [r["match"] for r in fuzzy.gram_matches(q, idx).collect()] == ["铁龙的马比月黑驿站的马快"]  # the other has two near matches
+
+
+def test_edit_replay(spark):
+    e = [(1, "r1", "2024-01-01", "original", "a"), (3, "r1", "2024-01-03", "original", "c"), (2, "r1", "2024-01-02", "original", "b"), (3, "r1", "2024-01-03", "original", "c"), (4, "r2", "2024-01-01", "note", None)]
+    e = spark.createDataFrame(e, "edit_seq long, id string, t string, field_name string, new_value string").withColumn("edited_at", F.to_timestamp("t"))
+    assert values(incremental.replay_edits(e).fillna("-"), "id", "field_name", "value", "n_edits") == [("r1", "original", "c", 3), ("r2", "note", "-", 1)]
+    r = spark.createDataFrame([("r1", "x", None, None, "passed"), ("r2", "y", None, "old", "passed")], "id string, original string, status string, note string, review_status string")
+    assert values(incremental.apply_edits(r, e).fillna("-"), "id", "original", "note", "review_status") == [("r1", "c", "-", "-"), ("r2", "y", "-", "passed")]
+
+
+def test_streamed_edits_equal_batch(spark, tmp_path):
+    schema = "edit_seq bigint, id string, edited_at timestamp, field_name string, new_value string"
+    for n in range(3):
+        rows = [(10 * n + k, f"r{k % 2}", n * 100 + k) for k in range(5)]
+        spark.createDataFrame(rows, "edit_seq bigint, id string, s long").select("edit_seq", "id", F.timestamp_seconds("s").alias("edited_at"), F.lit("original").alias("field_name"), F.col("edit_seq").cast("string").alias("new_value")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
+    src = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    src.coalesce(3).write.parquet(str(tmp_path / "flat"))
+    last = incremental.stream_edits(spark, str(tmp_path / "flat"), str(tmp_path / "st"), schema)
+    got = spark.read.parquet(str(tmp_path / "st" / "state" / f"v={last}"))
+    assert values(got, "id", "new_value") == values(incremental.replay_edits(src), "id", "value")
+
+
+def test_resumable_and_fix_point(spark, tmp_path):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+
+    def first(todo):
+        return todo.select("id", F.when(F.col("id") != "b", F.upper("id")).alias("result"))
+
+    out = incremental.two_phase(rows, "id", first, lambda t: t.select("id", F.lit("second").alias("result")), str(tmp_path))
+    assert values(out, "id", "result") == [("a", "A"), ("b", "second"), ("c", "C")]
+    numbers = spark.createDataFrame([(5,), (1,)], "n int")
+    done, rounds = incremental.fix_point(numbers, lambda d: d.where("n > 2"), lambda d, bad: d.withColumn("n", F.when(F.col("n") > 2, F.col("n") - 1).otherwise(F.col("n"))))
+    assert values(done, "n") == [(1,), (2,)] and rounds == 3
+
+
+def test_models(spark):
+    external.register_scalar(spark, "shout", lambda s: None if s is None else s.upper())
+    df = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "t string")
+    df.createOrReplaceTempView("words")
+    assert [r[0] for r in spark.sql("select shout(t) from words").collect()] == ["A", "B", "A", None]
+    out = external.model_on_distinct(df, "t", "m", lambda: lambda texts: [f"<{t}>" for t in texts])
+    assert sorted(str(r["m"]) for r in out.collect()) == ["<a>", "<a>", "<b>", "None"]
+    got = external.client_map(spark.createDataFrame([(1, "a"), (2, "bad")], "id long, t string"), "id", "t", lambda ts: None if "bad" in ts else ts)
+    assert values(got.fillna("-"), "id", "result") == [("1", "a"), ("2", "-")]
+    r = spark.createDataFrame([('[{"id":"1","text":"x"},{"id":"2","te',), ('[{"id":"1","text":"y"}]',)], "reply string")
+    assert values(replies.new_items(r.limit(1), "reply", spark.createDataFrame([], "id string")), "id", "text") == [("1", "x")]
+
+
+def pak(path, entries):
+    data, table = bytearray(), b""
+    for key, real, block, method in entries:
+        table += struct.pack("<III", key, 32 + len(data), real) + len(block).to_bytes(3, "little") + bytes([method])
+        data += block + b"\xee"  # a gap
+    path.write_bytes(struct.pack("<4sIIII", b"PACK", len(entries), 32 + len(data), 0, 0) + bytes(12) + bytes(data) + table)
+
+
+def test_archive_source_and_rebuild(spark, tmp_path):
+    text = "tên\tmô tả\n1\tnhiệm vụ\n".encode() * 20
+    frame = b"F" * 300
+    packed = nrv2b.compress(frame)
+    head = b"SPR\0" + bytes(8) + struct.pack("<HH", 2, 1) + bytes(16) + b"rgb"
+    sprite = head + struct.pack("<IiIi", len(packed), 300, 5, -5) + packed + b"store"
+    whole = head + struct.pack("<IIII", 0, 300, 300, 5) + frame + b"store"
+    pak(tmp_path / "a.pak", [(1, len(text), nrv2b.compress(text), 1), (2, 5, b"plain", 0), (3, 9, b"broken", 1), (4, 3, b"xyz", 99), (5, len(whole), sprite, 17)])
+    archive.register(spark)
+    df = spark.read.format("pak").option("entriesPerPartition", 2).load(str(tmp_path)).cache()
+    assert values(df, "index", "status") == [(0, "ok"), (1, "ok"), (2, "failed"), (3, "failed"), (4, "ok")]
+    got = {r["index"]: r for r in df.collect()}
+    assert got[0]["content"] == text and got[0]["ext"] == ".tsv" and got[4]["content"] == whole and got[2]["packed"] == b"broken"
+    assert [r["gap"] for r in archive.layout(df).orderBy("offset").collect()] == [0, 1, 1, 1, 1]
+    new = text.replace(b"1\t", b"2\t")
+    archive.rebuild(str(tmp_path / "a.pak"), str(tmp_path / "b.out"), {0: new})
+    after = spark.read.format("pak").load(str(tmp_path / "b.out"))
+    assert values(archive.changed_entries(df.where("status = 'ok'"), after.where("status = 'ok'")), "index") == [(0,)]
+    with pytest.raises(ValueError, match="method"):
+        archive.rebuild(str(tmp_path / "a.pak"), str(tmp_path / "c.out"), {1: b"x"})
+
+
+def test_resources_to_records_and_back(spark, tmp_path):
+    (tmp_path / "0001_ABCDEF01.tsv").write_bytes("ID\tTaskTips\timage\r\n7\tNhiệm vụ mới\ta.png\r\n".encode())
+    (tmp_path / "0002_ABCDEF02.ini").write_bytes("[M]\nTitle=Vũ khí\nImageFile=\\spr\\a.spr\nScriptName=x\n".encode())
+    (tmp_path / "0003_ABCDEF03.lua").write_bytes('Say("Xin chào <c>bạn</c>") -- "x"\n'.encode())
+    (tmp_path / "_quality_report.txt").write_bytes(b"text here")
+    files = units.resources(spark, str(tmp_path))
+    recs = units.records(files, "t.pak")
+    assert values(recs, "original") == [("Nhiệm vụ mới",), ("Vũ khí",), ("Xin chào",), ("bạn",)] or values(recs, "original") == [("Nhiệm vụ mới",), ("Vũ khí",), ("Xin chào ",), ("bạn",)]
+    ups = files.where(F.col("path").endswith(".tsv")).select("path", F.lit(2).alias("line_no"), F.lit(2).alias("col_no"), F.lit("新任务").alias("text"))
+    out = units.write_back(files, ups).collect()
+    assert [bytes(r["content"]).decode() for r in out] == ["ID\tTaskTips\timage\r\n7\t新任务\ta.png\r\n"]
+    assert units.structure_issues(files, units.write_back(files, ups)).count() == 0
+    assert units.audit(files).count() == 3
+
+
+def test_workbook_source_and_csv_tree(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    workbook.write(spark.createDataFrame([(1, "a"), (2, None)], "id int, text string"), str(tmp_path / "x" / "a.xlsx"))
+    workbook.register(spark)
+    rows = workbook.named(spark.read.format("workbook").load(str(tmp_path / "x")), ["id", "text", "none"])
+    assert values(rows.fillna("-"), "id", "text", "none") == [("1", "a", "-"), ("2", "", "-")]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.csv").write_bytes("﻿id,text\n1,\"x \"\"q\"\"\ny\"\n".encode())
+    (tmp_path / "c" / "_skip.csv").write_text("id,text\n9,z\n")
+    got = exchange.read_tree(spark, str(tmp_path / "c"))
+    assert values(got, "id", "text") == [("1", 'x "q"\ny')]
+    assert values(exchange.point_update(got, "id", "1", "text", "new"), "text") == [("new",)]
+    with pytest.raises(KeyError):
+        exchange.point_update(got, "id", "5", "text", "new")
