@@ -306,7 +306,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions(spark, sf_dir).where("residue is not null").select("tbl", "rec_key").distinct()
+    return decisions(spark, sf_dir).where("residue is not null and rec_key is not null").select("tbl", "rec_key").distinct()
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
