@@ -154,7 +154,7 @@ def test_lookalikes_equal_brute_force(spark, tmp_path):
 
 def test_lookalike_classes_are_transitive():
     composed, apart, reordered = "\u1ed9", "o\u0323\u0302", "o\u0302\u0323"
-    classes = lookalikes.classes({"A": 9, "\u0410": 1, "\uff21": 1, composed: 5, "\u043e": 2, "\u0302": 1, "\u0323": 1, "\u2007": 1, " ": 8, "\u200b": 1})
+    classes = lookalikes.classes({"A": 9, "o": 9, "\u0410": 1, "\uff21": 1, composed: 5, "\u043e": 2, "\u0302": 1, "\u0323": 1, "\u2007": 1, " ": 8, "\u200b": 1})
     assert classes["\u0410"] == classes["\uff21"] == "A" and classes[apart] == classes[reordered] == composed and classes["\u2007"] == " " and classes["\u200b"] == ""
     f = lookalikes.Rewriter(classes)
     assert f("\u043e\u0323\u0302 \u0410\u200b") == composed + " A" and f(None) is None and f("plain") == "plain"
