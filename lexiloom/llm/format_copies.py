@@ -7,6 +7,8 @@ the sorted tuple of its cells' identifiers, and the compact tuples are grouped.
 Identifiers are two 64-bit integers hashed from the canonical cell, so that no counter has to be shared between
 executors and a recomputed task gives the same numbers. With 10^10 distinct cells a collision has probability < 10^-18.
 
+A record's cells are few (its fields), and names don't repeat in it: rows that occur twice give the same set.
+
 Defined results: a null text, or one with no letter, digit or U+FFFD, is no record and has no copies. Repeated ids of one
 table count as rows of the group, and the smallest id is the first. Other columns of the input are ignored, whatever
 their names.
@@ -63,7 +65,7 @@ def encode(records: DataFrame) -> DataFrame:
     book = book.select(_ids(F.col("cell")).alias("raw"), "salt", _ids(F.concat(canonical(name), F.lit("\x01"), canonical(value))).alias("cid"))
     coded = cells.select("tbl", "id", "n", "salt", _ids(F.col("cell")).alias("raw")).join(book, ["raw", "salt"])
     single = coded.where("n = 1").select("tbl", "id", F.array("cid").alias("key"))
-    several = coded.where("n > 1").groupBy("tbl", "id").agg(F.sort_array(F.collect_list("cid")).alias("key"))
+    several = coded.where("n > 1").groupBy("tbl", "id").agg(F.sort_array(F.collect_set("cid")).alias("key"))
     return single.unionByName(several)
 
 

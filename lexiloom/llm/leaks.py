@@ -27,6 +27,8 @@ from lexiloom.llm.common import map_columns, spread, table
 SEED, PASSAGE, MATCHED = 6, 0.395, 0.34
 #: Most tokens between two matches of a chain, and most shift of its diagonal: a few changed, added or dropped words.
 GAP, DRIFT = 8, 4
+#: Bound on the test set that every task gets: 8 bytes a token, three arrays.
+MOST_TOKENS = 5_000_000
 #: Documents of a shard.
 SHARD_ROWS = 2000
 TOKEN = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
@@ -195,7 +197,10 @@ def leaked(docs: list[str | None], items: Items) -> list[tuple[int, int]]:
 def leaks(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document that contains a passage of an item. ``tests`` is a held-out set of bounded size."""
     rows = sorted((r.item_id, r.text) for r in tests.where("item_id is not null and text is not null").select("item_id", "text").distinct().collect())
-    shared = docs.sparkSession.sparkContext.broadcast(Items(rows))
+    items = Items(rows)
+    if len(items.stream) > MOST_TOKENS:
+        raise ValueError(f"{len(items.stream)} tokens of test items: ask for them in sets of at most {MOST_TOKENS}")
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(doc_id: list, text: list) -> dict[str, list]:
         items = shared.value
