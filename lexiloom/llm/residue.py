@@ -147,7 +147,7 @@ def span_tokens(span: str) -> list[str]:
     m = re.match(r"^(\W*|__|_+)(.*?)(\W*|_+)$", span, re.S)
     left, inner, right = (m[1], m[2], m[3]) if m else ("", span, "")
     out = ["<" + left.strip()[:3], ">" + right.strip()[-3:]]
-    out.append("s:" + ("snake" if re.fullmatch(r"[a-z]+(?:[_.][a-z]+)+", inner) else "upper" if re.fullmatch(r"[A-Z]+(?:_[A-Z]+)*", inner) else "word" if re.fullmatch(r"[a-z]+", inner) else "number" if re.fullmatch(r"[\d\W]+", inner) else "text"))
+    out.append("s:" + ("snake" if re.fullmatch(r"[a-z]+(?:[_.][a-z]+)+", inner) else "upper" if re.fullmatch(r"[A-Z]+(?:_[A-Z]+)+", inner) else "word" if re.fullmatch(r"[a-z]+", inner) else "number" if re.fullmatch(r"[\d\W]+", inner) else "text"))
     out += ["c:" + ch for ch in set(inner) & set('@":=;,%|/')]
     return out + ["w:" + w for w in tokens(inner.replace("_", " "))]
 
@@ -218,6 +218,9 @@ class Model:
         if not SPAN_HINT.search(text):
             return []
         found = SPANS.findall(text)
+        for s in found:  # a slot may stand inside other brackets, also in the ruins of another slot
+            if not SLOT_FORM.match(s) and SPAN_HINT.search(s[1:-1]):
+                found.extend(SPANS.findall(s[1:-1]))
         return [s for s in found if SLOT_FORM.match(s) or any(map(str.isalnum, self.clean(s)))] if found else found
 
     @staticmethod
@@ -252,7 +255,9 @@ class Model:
             if source and sorted(self.spans(source)) == sorted(self.spans(text)):
                 return None
             return "slot"
-        if self.whole(clean) and not (source and source.strip() and self.alike(self.clean(source))):
+        # An incident's id in the target alone can't come from the source.
+        own_id = bool(HEXID.search(clean)) and not HEXID.search(source or "")
+        if self.whole(clean) and (own_id or not (source and source.strip() and self.alike(self.clean(source)))):
             return "page"
         return None
 
