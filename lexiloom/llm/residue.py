@@ -26,7 +26,7 @@ from lexiloom.llm.common import map_columns, spread, table
 #: Bound on the sample that the models are fitted on, in records of each table.
 SAMPLE_RECORDS = 4000
 #: Weight of a trusted passage against an unlabelled one, iterations, least log-odds, least share of a record's letters.
-TRUST, ROUNDS, MARGIN, SHARE = 4.0, 4, 1.0, 0.46
+TRUST, ROUNDS, MARGIN, SHARE = 4.0, 4, 1.0, 0.4
 #: Both classes are smoothed towards the words of all passages with so many counts; log-odds of a word never seen.
 PRIOR, UNKNOWN = 60.0, -2.0
 #: Sum of positive log-odds, and its share of all, from which a source counts as being about the same as a target of residue.
@@ -116,7 +116,7 @@ SLOT_WORDS = re.compile(
 SPANS = re.compile(
     r"\{\{[^{}]{1,80}\}\}|\$\{[^{}]{1,80}\}|\{[^{}]{1,80}\}|<%[^<>]{1,80}%>|<<[^<>]{1,80}>>|<[^<>{}\n]{1,80}>|\[\[[^\[\]]{1,80}\]\]|\[[^\[\]\n]{1,80}\]"
     r"|【[^【】\n]{1,80}】|《[^《》\n]{1,80}》|\([^()\n]{1,80}\)|（[^（）\n]{1,80}）|%%[A-Za-z][A-Za-z_.]{2,40}%%|__[A-Za-z][A-Za-z_.]{1,40}__|#[A-Z][A-Z_.]{2,40}#"
-    r"|STR_[A-Z_]+_?\d*|(?<![A-Za-z])(?:TODO|TBD|FIXME|X{4,}|x{3,}(?:_x{3,})+)(?![A-Za-z])|@@[A-Za-z][A-Za-z_. ]{1,40}@@|_{4,}"
+    r"|STR_[A-Z_]+_?\d*|(?<![A-Z])(?:TODO|TBD|FIXME)(?![A-Z])|(?<![A-Za-z])(?:X{4,}|x{3,}(?:_x{3,})+)(?![A-Za-z])|@@[A-Za-z][A-Za-z_. ]{1,40}@@|_{4,}"
 )
 #: Anything that SPANS can begin with: texts without it need no search.
 SPAN_HINT = re.compile(r"[{<\[【《(（]|%%|__|@@|#[A-Z]|STR_|TODO|TBD|FIXME|XXXX|xxx_")
@@ -255,9 +255,9 @@ class Model:
             if source and sorted(self.spans(source)) == sorted(self.spans(text)):
                 return None
             return "slot"
-        # An incident's id in the target alone can't come from the source.
-        own_id = bool(HEXID.search(clean)) and not HEXID.search(source or "")
-        if self.whole(clean) and (own_id or not (source and source.strip() and self.alike(self.clean(source)))):
+        # An incident's id or filler in the target alone can't come from the source.
+        own = any(bool(p.search(clean)) and not p.search(source or "") for p in (HEXID, FILLER))
+        if self.whole(clean) and (own or not (source and source.strip() and self.alike(self.clean(source)))):
             return "page"
         return None
 
