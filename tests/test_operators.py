@@ -247,3 +247,42 @@ def test_workbook_source_and_csv_tree(spark, tmp_path):
     assert values(exchange.point_update(got, "id", "1", "text", "new"), "text") == [("new",)]
     with pytest.raises(KeyError):
         exchange.point_update(got, "id", "5", "text", "new")
+
+
+def test_apply_renderings_and_segments(spark):
+    from lexiloom.operators import apply
+
+    recs = spark.createDataFrame([("1", "Tên <b>x</b>", None), ("2", "Tên <b>x</b>", None), ("3", "áo", None)], "id string, original string, source_original string")
+    ids = {r["original"]: r["c"] for r in recs.select("original", X.content_id(F.col("original")).alias("c")).collect()}
+    new = spark.createDataFrame([(ids["Tên <b>x</b>"], "名 <b>x</b>"), (ids["áo"], "衣 ◈1◈"), ("xunknown", "?")], "content_id string, target string")
+    out, report = apply.apply_renderings(recs, new)
+    assert values(out.fillna("-"), "id", "original", "source_original") == [("1", "名 <b>x</b>", "Tên <b>x</b>"), ("2", "名 <b>x</b>", "Tên <b>x</b>"), ("3", "áo", "-")]
+    assert values(report, "reason", "n_records") == [("markers left", 1), ("unknown id", 0)]
+    with pytest.raises(ValueError, match="more than once"):
+        apply.apply_renderings(recs, new.unionByName(new))
+    with pytest.raises(ValueError, match="only"):
+        apply.apply_renderings(recs, new.limit(1), least_share=0.8)
+    seg = spark.createDataFrame([(X_segment("Tên"), "名字"), (X_segment("x"), "9")], "segment_id string, target string")
+    got = apply.apply_segments(recs, seg)
+    assert values(got, "id", "original", "n_rendered", "n_refused") == [("1", "名字 <b>x</b>", 1, 1), ("2", "名字 <b>x</b>", 1, 1), ("3", "áo", 0, 0)]
+
+
+def X_segment(text):
+    import hashlib
+
+    return "s" + hashlib.sha256(text.encode()).hexdigest()[:24]
+
+
+def test_apply_predicates(spark):
+    from lexiloom.operators import apply
+
+    df = spark.createDataFrame([("áo %s",), ("衣服",), ("NPC 衣",), ("abc {0}",), ("◈1◈",)], "s string")
+    assert [tuple(r) for r in df.select(apply.residual_source(F.col("s")), apply.incomplete(F.col("s")), apply.still_open(F.col("s"))).collect()] == [(True, True, True), (False, False, False), (False, False, False), (False, True, False), (False, False, True)]
+    df = spark.createDataFrame([("<b>áo</b>", "衣"), ("dùng \\spr\\a.spr", "用 \\spr\\b.spr")], "s string, t string")
+    assert [r[0] for r in df.select(apply.complete_wrapper(F.col("s"), F.col("t"))).collect()][0] == "<b>衣</b>"
+    assert [r[0] for r in df.select(apply.restore_paths(F.col("s"), F.col("t"))).collect()][1] == "用 \\spr\\a.spr"
+    a = spark.createDataFrame([("p", "f", 1, 1, "x")], "pak string, source_file string, line_no int, col_no int, original string")
+    b = spark.createDataFrame([("p", "f", 1, 1, "x2"), ("p", "f", 2, 1, "y")], a.schema)
+    assert values(apply.append_missing(a, b), "line_no", "original") == [(1, "x"), (2, "y")]
+    found, missing = apply.split_found(b, a)
+    assert values(found, "line_no", "clean_source") == [(1, "x")] and values(missing, "line_no") == [(2,)]
