@@ -77,6 +77,7 @@ def parse_positional(reply: str | None, n: int) -> list[str] | None:
     return value if good else None
 
 
+# Fixed value: the separator of framed rows.
 FRAME = "ZXQROW{:06d}ZX"
 
 
