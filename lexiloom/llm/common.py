@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a costly Python stage at least as many partitions as there are cores.
 
-    The input is left alone when its files already split well; a single small file is dealt out round-robin by content.
+    The input is left alone when its files already split well; a few files are dealt out round-robin, one shuffle of what is read.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() * 2 > want else df.repartition(want)

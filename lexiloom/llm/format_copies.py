@@ -7,10 +7,10 @@ the sorted tuple of its cells' identifiers, and the compact tuples are grouped.
 Identifiers are two 64-bit integers hashed from the canonical cell, so that no counter has to be shared between
 executors and a recomputed task gives the same numbers. With 10^10 distinct cells a collision has probability < 10^-18.
 
-A record's cells are few (its fields), and names don't repeat in it: rows that occur twice give the same set.
+A record's cells are few (its fields), and names don't repeat in it.
 
-Defined results: a null text, or one with no letter, digit or U+FFFD, is no record and has no copies. Repeated ids of one
-table count as rows of the group, and the smallest id is the first. Other columns of the input are ignored, whatever
+Defined results: a null text, or one with no letter, digit or U+FFFD, is no record and has no copies. Repeated rows of one
+id and text count once; the smallest id of a group is the first. Other columns of the input are ignored, whatever
 their names.
 """
 
@@ -55,18 +55,16 @@ def encode(records: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit("").alias("f"), F.col("text").alias("v")))
     rows = records.where(F.col("text").rlike(r"[^\p{P}\p{S}\p{Z}\p{C}\s]|\x{FFFD}")).withColumn("cells", fields_of(F.col("text")))
     cells = (
-        rows.select("tbl", "id", F.size("cells").alias("n"), F.explode(F.coalesce("cells", whole)).alias("c"))
-        .select("tbl", "id", F.when(F.col("n") > 0, F.col("n")).otherwise(1).alias("n"), F.concat("c.f", F.lit("\x01"), "c.v").alias("cell"))
+        rows.select("tbl", "id", F.xxhash64("text").alias("rec"), F.explode(F.coalesce("cells", whole)).alias("c"))
+        .select("tbl", "id", "rec", F.concat("c.f", F.lit("\x01"), "c.v").alias("cell"))
         .withColumn("salt", salt_of("tbl", "id", salts=CELL_SALTS))
     )
     # The dictionary: every distinct stored cell is canonicalised here, once (a repeated one at most CELL_SALTS times).
     book = cells.select("cell", "salt").distinct()
     name, value = F.substring_index("cell", "\x01", 1), F.expr("substr(cell, instr(cell, '\x01') + 1)")
     book = book.select(_ids(F.col("cell")).alias("raw"), "salt", _ids(F.concat(canonical(name), F.lit("\x01"), canonical(value))).alias("cid"))
-    coded = cells.select("tbl", "id", "n", "salt", _ids(F.col("cell")).alias("raw")).join(book, ["raw", "salt"])
-    single = coded.where("n = 1").select("tbl", "id", F.array("cid").alias("key"))
-    several = coded.where("n > 1").groupBy("tbl", "id").agg(F.sort_array(F.collect_set("cid")).alias("key"))
-    return single.unionByName(several)
+    coded = cells.select("tbl", "id", "rec", "salt", _ids(F.col("cell")).alias("raw")).join(book, ["raw", "salt"])
+    return coded.groupBy("tbl", "id", "rec").agg(F.sort_array(F.collect_set("cid")).alias("key")).select("tbl", "id", "key")
 
 
 def copies(records: DataFrame) -> DataFrame:
