@@ -13,6 +13,10 @@ from lexiloom.functions import text as X
 
 # Least length, thresholds by length, margin over the runner-up, weight of the grams.
 LEAST_LENGTH, MARGIN, GRAM_WEIGHT = 3, 0.06, 0.72
+#: Bound on the left shingles that every task gets.
+MOST_SHINGLES = 500_000
+#: Places of a text that one piece of it gives.
+PIECE = 128
 
 
 def normal_form(c: Column) -> Column:
@@ -68,21 +72,29 @@ def gram_matches(queries: DataFrame, index: DataFrame, least_jaccard: float = 0.
 def shingle_votes(left: DataFrame, right: DataFrame, width: int = 8, least: int = 2) -> DataFrame:
     """Pairs of texts with at least ``least`` common character shingles; exact matches first, and not again.
 
-    left(l_id, text), right(r_id, text). Shingles of more than one right text are left to those that tell texts apart.
+    left(l_id, text), right(r_id, text). Every shingle votes for all right ids that hold it, and every right id with an equal
+    text is an exact match. Right rows move once, by their id; left shingles go to every task up to MOST_SHINGLES of them,
+    beyond which the join is Spark's own, with AQE's skew handling for frequent shingles.
     """
 
     def norm(rows: DataFrame, key: str) -> DataFrame:
-        return rows.select(key, normal_form(F.col("text")).alias("t")).where("t != ''")
-
-    a, b = norm(left, "l_id"), norm(right, "r_id")
-    once = b.groupBy("t").agg(F.min("r_id").alias("r_id"))
-    exact = a.join(once, "t").select("l_id", "r_id", F.lit(0).cast("long").alias("votes"), F.lit("exact").alias("how"))
-
-    def cut(rows: DataFrame, key: str) -> DataFrame:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - width + 1))
-        return rows.select(key, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col("t"), i, F.lit(width))))).alias("s"))
-
-    rest = a.join(exact.select("l_id"), "l_id", "left_anti")
-    mine = cut(once, "r_id").groupBy("s").agg(F.min("r_id").alias("r_id"), F.max("r_id").alias("_hi")).where("r_id = _hi").drop("_hi")
-    votes = cut(rest, "l_id").join(mine, "s").groupBy("l_id", "r_id").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least)
-    return exact.unionByName(votes.withColumn("how", F.lit("shingles")))
+        return rows.where(F.col(key).isNotNull()).select(key, normal_form(F.col("text")).alias("t")).where("t != ''")
+
+    def cut(rows: DataFrame, *keys: str) -> DataFrame:
+        # Places in UTF-8 are found from the start of a string, so long texts are cut into pieces first.
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - width + 1), F.lit(PIECE))
+        pieces = rows.select(*keys, F.explode(F.transform(starts, lambda i: F.substr(F.col("t"), i, F.lit(PIECE + width - 1)))).alias("p"))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - width + 1))
+        return pieces.select(*keys, F.explode(F.transform(places, lambda i: F.substr(F.col("p"), i, F.lit(width)))).alias("s"))
+
+    a = norm(left, "l_id").withColumn("x", F.md5(F.col("t").cast("binary"))).distinct()
+    b = norm(right, "r_id").repartition("r_id")
+    exact = a.join(b.dropDuplicates(["r_id", "t"]), "t").select("l_id", "x", "r_id").distinct()
+    asked = cut(a.join(exact.select("x").distinct(), "x", "left_anti").dropDuplicates(["x"]), "x").distinct()
+    known = asked.select("s").distinct()
+    if asked.limit(MOST_SHINGLES + 1).count() <= MOST_SHINGLES:
+        asked, known = F.broadcast(asked), F.broadcast(known)
+    held = cut(b, "r_id").join(known, "s", "left_semi").distinct()
+    votes = held.join(asked, "s").groupBy("x", "r_id").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least)
+    votes = votes.join(a.select("x", "l_id").distinct(), "x").groupBy("l_id", "r_id").agg(F.max("votes").alias("votes"))
+    return exact.select("l_id", "r_id", F.lit(0).cast("long").alias("votes"), F.lit("exact").alias("how")).distinct().unionByName(votes.withColumn("how", F.lit("shingles")))

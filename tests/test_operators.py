@@ -142,6 +142,19 @@ def test_fuzzy_margin(spark):
     assert [r["match"] for r in fuzzy.gram_matches(q, idx).collect()] == ["铁龙的马比月黑驿站的马快"]  # the other has two near matches
 
 
+def test_shingles_vote_for_all_texts(spark):
+    passage = "铁龙的马比月黑驿站的马更快"
+    left = spark.createDataFrame([(1, "问：" + passage), (2, "前往安万寨寻找水后领取"), (3, passage[:9])], "l_id int, text string")
+    right = [(10, "甲" + passage), (11, "乙" + passage), (12, "前往安万寨寻找水后领取"), (13, "前往安万寨寻找水后领取"), (14, "无关的文字也在这里写着")]
+    right = spark.createDataFrame([*right, (10, "甲" + passage), (15, passage[:8]), (15, passage[:8] + "别")], "r_id int, text string")
+    n = len(passage) - 7
+    want = [(1, 10, n, "shingles"), (1, 11, n, "shingles"), (2, 12, 0, "exact"), (2, 13, 0, "exact"), (3, 10, 2, "shingles"), (3, 11, 2, "shingles")]
+    for most in (fuzzy.MOST_SHINGLES, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(fuzzy, "MOST_SHINGLES", most)
+            assert values(fuzzy.shingle_votes(left, right), "l_id", "r_id", "votes", "how") == want
+
+
 def test_edit_replay(spark):
     e = [(1, "r1", "2024-01-01", "original", "a"), (3, "r1", "2024-01-03", "original", "c"), (2, "r1", "2024-01-02", "original", "b"), (3, "r1", "2024-01-03", "original", "c"), (4, "r2", "2024-01-01", "note", None)]
     e = spark.createDataFrame(e, "edit_seq long, id string, t string, field_name string, new_value string").withColumn("edited_at", F.to_timestamp("t"))
