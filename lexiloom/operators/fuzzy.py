@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,6 +15,8 @@ from lexiloom.functions import text as X
 
 # Least length, thresholds by length, margin over the runner-up, weight of the grams.
 LEAST_LENGTH, MARGIN, GRAM_WEIGHT = 3, 0.06, 0.72
+#: Least threshold less the margin: no lower score decides anything.
+LEAST_SCORE = 0.82 - MARGIN
 #: Bound on the left shingles that every task gets.
 MOST_SHINGLES = 500_000
 #: Places of a text that one piece of it gives.
@@ -32,41 +36,80 @@ def grams(c: Column) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; only pairs that share grams get here."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def ratio(a: pd.Series, b: pd.Series, shared: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity of pairs that share grams; 0 where neither it nor their share of grams reaches LEAST_SCORE."""
 
+    def one(x: str, y: str, j: float) -> float:
+        m = SequenceMatcher(None, x, y)
+        return m.ratio() if j >= LEAST_SCORE or m.quick_ratio() >= LEAST_SCORE else 0.0
 
-def gram_matches(queries: DataFrame, index: DataFrame, least_jaccard: float = 0.3) -> DataFrame:
-    """(query, match, score) where the best candidate passes its threshold and leads by MARGIN.
+    return pd.Series([one(*p) for p in zip(a, b, shared, strict=True)], dtype="float64")
 
-    queries(query), index(value). Candidates meet on rare grams only: a text is joined through the grams that the fewest
-    index texts have, as many as the Jaccard bound needs (prefix filter), which loses no pair above the bound.
-    """
-    q = queries.select(normal_form(F.col("query")).alias("q")).where(F.length("q") >= LEAST_LENGTH).distinct()
-    v = index.select(normal_form(F.col("value")).alias("v"), F.col("value")).where((F.length("v") >= LEAST_LENGTH) & X.contains_cjk(F.col("v")))
-    values = v.groupBy("v").agg(F.min("value").alias("value"), F.countDistinct("value").alias("n_values")).where("n_values = 1").drop("n_values")
-    exploded = values.select("v", F.explode(grams(F.col("v"))).alias("g"))
-    df = exploded.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def letters(s: pd.Series) -> pd.Series:
+    """Characters with their number of occurrence, so that a multiset becomes a set."""
+
+    def numbered(text: str) -> list[str]:
+        seen: Counter[str] = Counter()
+        out = []
+        for ch in text:
+            seen[ch] += 1
+            out.append(f"{ch}{seen[ch]}")
+        return out
+
+    return s.map(numbered)
+
+
+def prefix_pairs(q: DataFrame, v: DataFrame, tokens: Callable[[Column], Column], share: float, lengths: float = 0.0) -> DataFrame:
+    """(q, v) of all texts that can have ``share`` of either token set in common, with lengths of that ratio: they meet on a token of both rare prefixes."""
+    a, b = q.select("q", F.explode(tokens(F.col("q"))).alias("g")), v.select("v", F.explode(tokens(F.col("v"))).alias("g"))
+    df = b.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(rows: DataFrame, text: str) -> DataFrame:
-        ranked = rows.join(df, "g", "left").fillna(0, ["df"])
         w = Window.partitionBy(text).orderBy("df", "g")
         n = F.count(F.lit(1)).over(Window.partitionBy(text))
-        keep = F.row_number().over(w) <= n - F.ceil(n * F.lit(least_jaccard)) + 1
-        return ranked.withColumn("_k", keep).where("_k").select(text, "g")
+        keep = F.row_number().over(w) <= n - F.ceil(n * F.lit(share) - 1e-9) + 1
+        return rows.join(df, "g", "left").fillna(0, ["df"]).withColumn("_k", keep).where("_k").select(text, "g")
 
-    a = prefix(q.select("q", F.explode(grams(F.col("q"))).alias("g")), "q")
-    pairs = a.join(prefix(exploded, "v"), "g").select("q", "v").distinct().withColumn("gq", grams(F.col("q"))).withColumn("gv", grams(F.col("v")))
-    jac = F.size(F.array_intersect("gq", "gv")) / F.size(F.array_union("gq", "gv"))
-    pairs = pairs.withColumn("j", jac).where(F.col("j") >= least_jaccard)
+    return prefix(a, "q").join(prefix(b, "v"), "g").where(F.least(F.length("q"), F.length("v")) >= F.greatest(F.length("q"), F.length("v")) * lengths).select("q", "v").distinct()
+
+
+def marker(c: Column) -> Column:
+    first = F.substring(c, 1, 1)
+    return F.when(first.isin("$", "#", "="), first).otherwise("")
+
+
+def gram_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query, match, score) where the best candidate passes its threshold and leads by MARGIN.
+
+    queries(query), index(value). Equal normal forms match first. Other candidates share a gram, and only those whose score can
+    reach the least threshold less the margin matter, as best or as runner-up. Such a score needs that ratio among the
+    characters in common (similarity or containment) or among the grams (the weighted mean); prefix filters on the rarest
+    characters and grams lose no pair of either kind.
+    """
+    asked = queries.select(normal_form(F.col("query")).alias("q"), marker(F.col("query")).alias("m")).where(F.length("q") >= LEAST_LENGTH).distinct()
+    values = index.select(normal_form(F.col("value")).alias("v"), F.col("value")).where((F.length("v") >= LEAST_LENGTH) & X.contains_cjk(F.col("v"))).distinct()
+    v = values.select("v").distinct()
+    exact = asked.select(F.col("q"), F.col("q").alias("v")).distinct().join(v, "v", "left_semi").select("q", "v", F.lit(1.0).alias("score"))
+    q = asked.select("q").distinct().join(exact, "q", "left_anti")
+    # common >= LEAST_SCORE * (a + b) / 2 and common <= b give common >= a * least, and the same for the lengths.
+    least = LEAST_SCORE / (2 - LEAST_SCORE)
+    near = prefix_pairs(q, v, letters, least, least - 1e-9).unionByName(prefix_pairs(q, v, grams, LEAST_SCORE)).distinct()
+    near = near.withColumns({"gq": grams(F.col("q")), "gv": grams(F.col("v"))}).withColumn("c", F.size(F.array_intersect("gq", "gv"))).where("c > 0")
+    near = near.select("q", "v", (F.col("c") / (F.size("gq") + F.size("gv") - F.col("c"))).alias("j"))
     inside = F.when(F.col("q").contains(F.col("v")) | F.col("v").contains(F.col("q")), F.least(F.length("q"), F.length("v")) / F.greatest(F.length("q"), F.length("v"))).otherwise(0.0)
-    scored = pairs.withColumn("r", ratio("q", "v")).withColumn("score", F.when(F.col("q") == F.col("v"), 1.0).otherwise(F.greatest(F.col("r"), F.col("j") * GRAM_WEIGHT + F.col("r") * (1 - GRAM_WEIGHT), inside)))
+    scored = near.withColumn("r", ratio("q", "v", "j")).withColumn("score", F.greatest(F.col("r"), F.col("j") * GRAM_WEIGHT + F.col("r") * (1 - GRAM_WEIGHT), inside))
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("v"))
     top = scored.withColumn("_rn", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("_rn = 1")
     threshold = F.when(F.length("q") < 7, 0.92).when(F.length("q") < 14, 0.86).otherwise(0.82)
-    good = top.where((F.col("score") == 1.0) | ((F.col("score") >= threshold) & (F.col("score") - F.col("second") >= MARGIN)))
-    return good.join(values, "v").select(F.col("q").alias("query"), F.col("value").alias("match"), F.round("score", 4).alias("score"))
+    good = exact.unionByName(top.where((F.col("score") >= threshold) & (F.col("score") - F.col("second") >= MARGIN)).select("q", "v", "score"))
+    # Of several texts with one normal form, the one with the query's marker.
+    picks = values.groupBy("v", marker(F.col("value")).alias("m")).agg(F.min("value").alias("own"), F.count(F.lit(1)).alias("n"))
+    alone = values.groupBy("v").agg(F.min("value").alias("only"), F.count(F.lit(1)).alias("n_all"))
+    rows = good.join(asked, "q").join(picks, ["v", "m"], "left").join(alone, "v")
+    match = F.when(F.col("n") == 1, F.col("own")).when(F.col("n_all") == 1, F.col("only"))
+    return rows.select(F.col("q").alias("query"), match.alias("match"), F.round("score", 4).alias("score")).where("match is not null").distinct()
 
 
 def shingle_votes(left: DataFrame, right: DataFrame, width: int = 8, least: int = 2) -> DataFrame:

@@ -545,8 +545,8 @@ def tag_skeleton(spark, d):
 def gram_matches(spark, d):
     """Glossary terms against memory sources: the best near match that leads by a margin."""
     g = read(spark, d, "glossary").where(X.contains_cjk(F.col("target"))).select(F.col("target").alias("query"))
-    tm = read(spark, d, "translation_memory").where(X.contains_cjk(F.col("target_text")) & (F.length("target_text") <= 40)).select(F.col("target_text").alias("value"))
-    return fuzzy.gram_matches(g, tm, 0.5)
+    tm = read(spark, d, "translation_memory").where(X.contains_cjk(F.col("target_text"))).select(F.col("target_text").alias("value"))
+    return fuzzy.gram_matches(g, tm)
 
 
 @query()
