@@ -133,15 +133,20 @@ def chain(place: list[int], at: list[int]) -> tuple[int, int]:
             last = p
         runs.append((start, last + SEED, diagonal))
     runs.sort()
-    ends: list[tuple[int, int, int, int]] = []  # start, end, diagonal, matched
+    # Ends on one diagonal rise with their starts, so those within GAP are the last few of each diagonal within DRIFT.
+    ends: dict[int, list[tuple[int, int, int, int]]] = {}  # by diagonal: end, number of the run, start, matched
     best = (0, 0)
-    for start, end, diagonal in runs:
-        new = (start, end, diagonal, end - start)
-        for s, e, g, m in reversed(ends[-64:]):
-            if abs(g - diagonal) <= DRIFT and start - e <= GAP and end > e and m + min(end - start, end - e) > new[3]:
-                new = (s, end, diagonal, m + min(end - start, end - e))
-        ends.append(new)
-        best = max(best, (new[3], new[1] - new[0]))
+    for i, (start, end, diagonal) in enumerate(runs):
+        new, order = (start, end - start), -1
+        for g in range(diagonal - DRIFT, diagonal + DRIFT + 1):
+            for e, k, s, m in reversed(ends.get(g, ())):
+                if start - e > GAP:
+                    break
+                gain = m + min(end - start, end - e)
+                if end > e and (gain > new[1] or (gain == new[1] and order >= 0 and k > order)):
+                    new, order = (s, gain), k
+        ends.setdefault(diagonal, []).append((end, i, new[0], new[1]))
+        best = max(best, (new[1], end - new[0]))
     return best
 
 
