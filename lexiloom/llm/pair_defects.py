@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm import mojibake, residue
 from lexiloom.llm.common import map_columns, spread, table
 
-#: Bound on the sample from which usual lengths are learned, and the least number of pairs of a kind.
-SAMPLE_ROWS, LEAST_PAIRS = 12000, 8
+#: Least number of pairs of a kind for its own usual length; rarer kinds take that of their script and language.
+LEAST_PAIRS = 8
 #: An answer below SHORT of the usual length is truncated; below SUSPECT it is where units are missing or left open.
 SHORT, SUSPECT = 0.5, 0.72
 #: Least length of a tile in tokens, and least share of both sides that tiles must cover in a copy.
@@ -185,15 +185,21 @@ def kind_of(source: str) -> str:
 
 
 class Judge:
-    def __init__(self, pairs: list[tuple[str, str, str]], protected: list[str]) -> None:
+    """``usual`` has the median ratio of letters by (script, language, kind), and by (script, language) for rare kinds; else pairs give it."""
+
+    def __init__(self, pairs: list[tuple[str, str, str]], protected: list[str], usual: dict[tuple[str, ...], float] | None = None) -> None:
         self.protected = re.compile("|".join(f"(?i:{p})" for p in protected)) if protected else None
         ratios = defaultdict(list)
-        for source, target, lang in pairs:
-            s, t = self.clean(source), self.clean(target)
-            a, b = letters(s), letters(t)
-            if a > 3 and b and not language(t, lang):
-                ratios[self._key(s, lang)].append(b / a)
-        self.usual = {k: statistics.median(v) for k, v in ratios.items() if len(v) >= LEAST_PAIRS}
+        for key, ratio in filter(None, (self.measure(*p) for p in pairs)):
+            ratios[key].append(ratio)
+            ratios[key[:2]].append(ratio)
+        self.usual = {k: statistics.median(v) for k, v in ratios.items() if len(v) >= LEAST_PAIRS} if usual is None else usual
+
+    def measure(self, source: str, target: str, lang: str) -> tuple[tuple[str, str, str], float] | None:
+        """The kind of a pair and its ratio of letters, where it tells the usual length."""
+        s, t = self.clean(source), self.clean(target)
+        a, b = letters(s), letters(t)
+        return (self._key(s, lang), b / a) if a > 3 and b and not language(t, lang) else None
 
     def clean(self, text: str) -> str:
         return self.protected.sub(" ", text) if self.protected else text
@@ -205,7 +211,7 @@ class Judge:
     def truncated(self, source: str, target: str, lang: str) -> bool:
         s, t = self.clean(ud.normalize("NFC", source)), self.clean(target)
         key = self._key(s, lang)
-        usual = self.usual.get(key)
+        usual = self.usual.get(key) or self.usual.get(key[:2])
         a, b = letters(s), letters(t)
         if not usual or a <= 3:
             return False
@@ -237,9 +243,19 @@ class Judge:
 
 
 def judge(spark: SparkSession, sf_dir: str) -> Judge:
+    """The judge with the usual lengths of all pairs; medians come from a sketch whose error in rank is at most 1 in 10,000."""
     memory = table(spark, sf_dir, "translation_memory").where("source_text is not null and target_text is not null and target_lang is not null")
-    rows = residue.sample(memory, "tm_id", SAMPLE_ROWS).select("source_text", "target_text", "target_lang").collect()
-    return Judge([tuple(r) for r in rows], residue.protected_patterns(spark, sf_dir))
+    protected = residue.protected_patterns(spark, sf_dir)
+    bare = Judge([], protected)
+
+    def run(source_text: list, target_text: list, target_lang: list) -> dict[str, list]:
+        found = [x for x in map(bare.measure, source_text, target_text, target_lang) if x]
+        return {"script": [k[0] for k, _ in found], "lang": [k[1] for k, _ in found], "kind": [k[2] for k, _ in found], "ratio": [r for _, r in found]}
+
+    ratios = map_columns(spread(memory.select("source_text", "target_text", "target_lang")), run, "script string, lang string, kind string, ratio double")
+    medians = ratios.rollup("script", "lang", "kind").agg(F.percentile_approx("ratio", 0.5, 10000).alias("usual"), F.count(F.lit(1)).alias("n"))
+    rows = medians.where((F.col("n") >= LEAST_PAIRS) & F.col("lang").isNotNull()).collect()
+    return Judge([], protected, {(r.script, r.lang, *([r.kind] if r.kind else [])): r.usual for r in rows})
 
 
 def defects(spark: SparkSession, sf_dir: str) -> DataFrame:
