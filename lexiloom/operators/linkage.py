@@ -83,8 +83,15 @@ def overlap_pairs(left: DataFrame, right: DataFrame, key: str, least: int = 5, m
     a = left.select(F.col("source_file").alias("l_file"), key).distinct()
     b = right.select(F.col("source_file").alias("r_file"), key).distinct()
     sizes = a.groupBy("l_file").agg(F.count(F.lit(1)).alias("n_l")), b.groupBy("r_file").agg(F.count(F.lit(1)).alias("n_r"))
-    # Only keys of one file a side: a key that many files share tells nothing and would multiply rows.
-    pairs = one_value(a, [key], "l_file", "l_file").join(one_value(b, [key], "r_file", "r_file"), key).groupBy("l_file", "r_file").agg(F.count(F.lit(1)).alias("common"))
+
+    # A key counts for every pair of files that hold it. Keys held by the same files on both sides are counted together first, so
+    # that a table stored under many paths gives each pair once and not once a key.
+    def held(rows: DataFrame, file: str, side: str) -> DataFrame:
+        marks = [F.bit_xor(F.xxhash64(file)).alias(f"{side}_x"), F.bit_xor(F.xxhash64(F.lit(side), file)).alias(f"{side}_y"), F.count(F.lit(1)).alias(f"{side}_k")]
+        return rows.groupBy(key).agg(*marks)
+
+    groups = held(a, "l_file", "l").join(held(b, "r_file", "r"), key).groupBy("l_x", "l_y", "l_k", "r_x", "r_y", "r_k").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n"))
+    pairs = groups.select(key, "_n").join(a, key).join(b, key).groupBy("l_file", "r_file").agg(F.sum("_n").alias("common"))
     rate = F.col("common") / F.least("n_l", "n_r")
     out = pairs.join(sizes[0], "l_file").join(sizes[1], "r_file").withColumn("rate", rate)
     return out.where((F.col("common") >= least) & (((F.col("common") >= many) & (F.col("rate") >= share)) | (F.col("rate") >= strong))).select("l_file", "r_file", "common", "rate")
