@@ -76,3 +76,11 @@ def unit_scan_cells(spark, d):
     docs = read(spark, d, "documents").where("text is not null and not contains(text, '\r')")
     rows = docs.select("doc_id", F.explode(units.cells_udf(F.encode("text", "UTF-8"), F.lit("tsv"))).alias("c"))
     return rows.select("doc_id", "c.line_no", "c.col_no", F.decode("c.cell", "UTF-8").alias("cell"))
+
+
+@query()
+def unit_scan_all_cells(spark, d):
+    """The cells of every document, also of those with CR or CRLF line ends, which the SQL of ``unit_scan_cells`` leaves out."""
+    docs = read(spark, d, "documents").where("text is not null")
+    rows = docs.select("doc_id", F.explode(units.cells_udf(F.encode("text", "UTF-8"), F.lit("tsv"))).alias("c"))
+    return rows.select("doc_id", "c.line_no", "c.col_no", F.decode("c.cell", "UTF-8").alias("cell"))
