@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import map_columns, spread, table
 
 #: Layers that are undone at most; bound on the sample from which Vietnamese words are learned, and least count of a word.
-LAYERS, SAMPLE_ROWS, LEAST_WORD = 3, 12000, 3
+LAYERS, LEAST_WORD = 3, 3
 #: A Han character is known from this many per million code points on; bits of a code point that never occurs.
 KNOWN_PER_MILLION, UNSEEN_BITS = 4.0, 24.0
 #: Bits by which the cost must drop.
@@ -249,12 +249,15 @@ def repairer(spark: SparkSession, sf_dir: str) -> Repairer:
     counts = code_points(rows, "value")
     everything = sum(counts.values()) or 1
     counts |= {chr(i): max(1, everything // 20) for i in range(128)}
-    every = max(1, math.ceil(rows.count() / SAMPLE_ROWS))
-    picked = rows.where(F.pmod(F.xxhash64("field_name", "rec_key"), F.lit(every)) == 0).limit(2 * SAMPLE_ROWS).select("value").collect()
     bare = Repairer(counts, set())
-    clean = (r["value"].lower() for r in picked if r["value"] and not bare.odd.search(r["value"]))
-    seen = Counter(w for text in clean for w in re.findall(f"[a-z{VIETNAMESE}]+", text) if not w.isascii())
-    return Repairer(counts, {w for w, n in seen.items() if n >= LEAST_WORD})
+
+    def run(value: list) -> dict[str, list]:
+        clean = (v.lower() for v in value if v and not bare.odd.search(v))
+        seen = Counter(w for text in clean for w in re.findall(f"[a-z{VIETNAMESE}]+", text) if not w.isascii())
+        return {"word": list(seen), "n": list(seen.values())}
+
+    words = map_columns(spread(rows.select("value")), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_WORD)
+    return Repairer(counts, {r["word"] for r in words.select("word").collect()})
 
 
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
