@@ -226,9 +226,22 @@ def select_candidates(candidates: DataFrame, methods: tuple[str, ...] = P.METHOD
 
 
 def migrate(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The record-level methods together: candidates, validation, selection."""
+    """The methods within files of one hash together: candidates (J14 between primary keys), validation, selection.
+
+    What is selected then is the memory (J15) for records without a rendering. The cell joins across files of different hashes
+    (J6, J7, J16) are not part of it.
+    """
     methods = (unique_locator, primary_key_join, signature_join, key_join, structure_join, key_occurrence_join, ordinal_join, soft_locator)
-    return select_candidates(valid(reduce(DataFrame.unionByName, (m(left, right) for m in methods)), left))
+    keys = [primary_keys(rows).withColumnRenamed("line_no", line) for rows, line in ((left, "l_line"), (right, "r_line"))]
+    anchors = keys[0].join(keys[1], ["file_hash", "row_key"]).select("file_hash", "l_line", "r_line")
+    found = reduce(DataFrame.unionByName, [*(m(left, right) for m in methods), gap_join(anchors, left, right)])
+    chosen = select_candidates(valid(found, left))
+    texts = left.select("id", "original").distinct()
+    done = chosen.where("target is not null")
+    memory = one_value(texts.where("trim(original) != ''").join(done, "id"), ["original"], "target", "target")
+    more = texts.join(done.select("id"), "id", "left_anti").join(memory, "original").select("id", F.lit("exact_text_memory").alias("method"), "target")
+    more = select_candidates(valid(more, left))
+    return chosen.join(more.select("id"), "id", "left_anti").unionByName(more)
 
 
 def apply_selected(records: DataFrame, selected: DataFrame) -> DataFrame:
