@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 > want else df.repartition(want)
 
 
+#: Bytes of text in a slice of rows, unless one row alone has more.
+SLICE_BYTES = 16 << 20
+
+
+def slices(whole: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``size`` bytes of text."""
+    weight = np.zeros(whole.num_rows, np.int64)
+    for column in whole.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(weight), 0
+    while at < whole.num_rows:
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+        end = max(at + 1, min(at + rows, end))
+        yield whole.slice(at, end - at)
+        at = end
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, batch_rows: int = 2000) -> DataFrame:
     """mapInArrow with plain lists: ``fn(**columns) -> columns``, over slices of at most ``batch_rows`` rows.
 
@@ -37,8 +57,7 @@ def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, batch_rows):
-                part = whole.slice(at, batch_rows)
+            for part in slices(whole, batch_rows):
                 out = fn(**{n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
@@ -72,14 +91,3 @@ def first_of_group(df: DataFrame, keys: list[str], id_col: str, salts: int = SAL
     )
     return rows.join(whole, [*keys, "_salt"]).drop("_salt")
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's, or a local one where none is set (as in tests)."""
-    import tempfile
-
-    set_by = spark.conf.get("spark.checkpoint.dir", None)
-    now = spark.sparkContext.getCheckpointDir()
-    if now:
-        return now
-    spark.sparkContext.setCheckpointDir(set_by or tempfile.mkdtemp(prefix="lexiloom-"))
-    return spark.sparkContext.getCheckpointDir()

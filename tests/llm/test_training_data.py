@@ -7,7 +7,6 @@ import random
 import re
 import unicodedata as ud
 from collections import Counter, defaultdict
-from datetime import datetime
 from pathlib import Path
 
 import numpy as np
@@ -290,9 +289,9 @@ def test_packed_tables(spark, tmp_path):
 def test_suffix_array_is_sorted():
     rnd = np.random.default_rng(1)
     t = rnd.integers(0, 4, 300)
-    order = leaks.suffix_array(t, 300)
+    order = leaks.suffix_array(t)
     s = [tuple(t[i:].tolist()) for i in order]
-    assert s == sorted(s) and leaks.suffix_array(np.array([], np.int64), 4).size == 0
+    assert s == sorted(s) and leaks.suffix_array(np.array([], np.int64)).size == 0
 
 
 def test_leaks_equal_brute_force(spark, tmp_path):
@@ -357,10 +356,10 @@ def test_boosting_learns_and_calibrates():
 
 
 @needs_data
-def test_counts_on_the_tables_are_stable(spark):
+def test_counts_on_the_tables_are_stable(spark, tmp_path):
     """The same rows give the same answers, whatever their order and partitions."""
     a = spark.read.parquet(f"{DATA}/documents.parquet")
-    folder = f"/tmp/lexiloom-{datetime.now().timestamp()}"
+    folder = str(tmp_path)
     for name in SCHEMAS:
         df = spark.read.parquet(f"{DATA}/{name}.parquet")
         (df.repartition(7) if name in ("documents", "translation_memory") else df).write.parquet(f"{folder}/{name}.parquet")
