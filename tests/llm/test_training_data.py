@@ -334,16 +334,44 @@ def letter(rnd):
     return "\n".join(t for t, _ in lines), Counter(k for _, k in lines if k)
 
 
-def test_personal_information_held_out(spark, tmp_path):
+@pytest.fixture(scope="module")
+def finder():
     rnd = random.Random(4)
-    train, test = [letter(rnd) for _ in range(120)], [letter(rnd) for _ in range(40)]
-    find = personal.Finder([t for t, _ in train])
-    right = sum(Counter(k for k, _, _ in find(t)) == want for t, want in test)
-    assert right >= 38
+    return personal.Finder([letter(rnd)[0] for _ in range(160)])
+
+
+def test_personal_information_held_out(finder):
+    rnd = random.Random(5)
+    test = [letter(rnd) for _ in range(40)]
+    found = finder([t for t, _ in test])
+    assert sum(Counter(k for k, _, _ in f) == want for f, (_, want) in zip(found, test, strict=True)) >= 38
     text = test[0][0]
-    clean = personal.redact(text, find(text))
+    clean = personal.redact(text, found[0])
     assert "@quillpost" not in clean and "[EMAIL]" in clean and "btn_28@2x.png" in clean and clean.count("\n") == text.count("\n")
-    assert find(None) == [] and find("") == []
+    assert finder([None, ""]) == [[], []]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("“anh Hứa Quốc Thịnh”", "name", "Hứa Quốc Thịnh"), ("(Mr. Gideon Pellsby)", "name", "Gideon Pellsby"), ('"Mrs Tessa Norrick"', "name", "Tessa Norrick"), ("chị: Kha Nhật Ngân", "name", "Kha Nhật Ngân"),
+        ("12 Larkspur Bend\tLane", "address", "12 Larkspur Bend\tLane"), ("số 5 Cầu Vải, Kỳ Lâm", "address", "số 5 Cầu Vải, Kỳ Lâm"), ("call 555-0142", "phone", "555-0142"), ("mail ann [a] box.test", "email", "ann [a] box.test"),
+    ],
+)
+def test_candidates_are_not_filtered_before(text, kind, part):
+    assert part in [text[s:e] for k, s, e in personal.candidates(text) if k == kind]
+
+
+def test_names_that_nothing_announces(finder):
+    found = finder(["Please give this to Linnea Talwick before noon.", "Rowan Ambrine plays well.", "Nhờ Hứa Quốc Thịnh giúp.", "Ta là Hồng Lôi, người giữ cửa."])
+    assert [[k for k, _, _ in f] for f in found] == [["name"], ["name"], ["name"], []]
+
+
+def test_announced_monsters_are_no_names():
+    texts = [letter(random.Random(i))[0] + "\nHer granddaughter was taken by grey wolves." for i in range(80)]
+    finder = personal.Finder(texts)
+    text = "The old woman lost her granddaughter, taken by grey wolves. This ticket was taken by Linnea Talwick."
+    assert [text[s:e] for k, s, e in finder([text])[0]] == ["Linnea Talwick"]
 
 
 def test_boosting_learns_and_calibrates():
@@ -351,8 +379,8 @@ def test_boosting_learns_and_calibrates():
     x = rnd.integers(0, 5, (600, 6)).astype(float)
     y = ((x[:, 0] > 2) ^ (x[:, 3] > 1)).astype(float)
     m = Boosted(trees=60).fit(x[:400], y[:400])
-    assert np.mean([(m.predict(r) >= m.threshold) == t for r, t in zip(x[400:].tolist(), y[400:], strict=True)]) > 0.95
-    assert Boosted().fit(np.zeros((0, 2)), np.zeros(0)).predict([0, 0]) < 0.5
+    assert np.mean((m.predict(x[400:]) >= m.threshold) == y[400:]) > 0.95
+    assert Boosted().fit(np.zeros((0, 2)), np.zeros(0)).predict(np.zeros((1, 2)))[0] < 0.5
 
 
 @needs_data
