@@ -164,13 +164,21 @@ def base_label(label: str | None) -> str:
     return re.split(r"[-_]", (label or "").strip().lower())[0]
 
 
-def labeller(spark: SparkSession, sf_dir: str) -> Labeller:
+def labelled_records(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """A bounded sample of records with their labels."""
     rows = table(spark, sf_dir, "text_records").select("id", "language", "original").where("original is not null and language is not null")
     picked = residue.sample(rows, "id", SAMPLE_ROWS).select("original", "language").collect()
-    labelled = [(r["original"], base_label(r["language"])) for r in sorted(picked, key=lambda r: r["original"])]
+    return sorted((r["original"], base_label(r["language"])) for r in picked)
+
+
+def fitted(labelled: list[tuple[str, str]]) -> Classifier:
+    """The classifiers of labelled texts, and of the same Vietnamese texts without their marks."""
     labelled = [(t, lang) for t, lang in labelled if lang in LANGUAGES]
-    labelled += [(plain(t), lang) for t, lang in labelled if lang == "vi" and not t.isascii() and not re.search("[㐀-鿿]", t)]
-    return Labeller(Classifier(labelled), residue.protected_patterns(spark, sf_dir))
+    return Classifier(labelled + [(plain(t), lang) for t, lang in labelled if lang == "vi" and not t.isascii() and not re.search("[㐀-鿿]", t)])
+
+
+def labeller(spark: SparkSession, sf_dir: str) -> Labeller:
+    return Labeller(fitted(labelled_records(spark, sf_dir)), residue.protected_patterns(spark, sf_dir))
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Problem 4: pairs whose answer is empty, cut off, a refusal, the source again or in another language.
 
-Method: a pushdown parser reads tags, brackets, quotations, fences, list items, named fields and sentences of both sides;
-an answer with fewer finished units than its source, or one that ends with something open, and much shorter than
-renderings of its kind are, is truncated. Greedy string tiling finds copies of the source, script and function-word checks the
-language, and small grammars in four languages the refusals.
+Method: a pushdown parser reads tags, brackets, quotations, fences, list items, named fields, sentences and numbers of both sides. An
+answer with fewer finished units than its source, with something left open, without the source's end or its last numbers is cut
+off, unless it is nearly as long as renderings of its kind are. Only where the parser sees no difference does the length
+alone decide, against a learned usual length. Greedy string tiling finds copies of the source, also altered ones; scripts and the
+language classifiers of problem 6 check the language, and small grammars in four languages the refusals.
 
 Defined results, in this order: an answer that is null or holds no letter or digit is `empty`; a refusal by its grammar, unless
 the source fits the grammar too, `refusal`; the source again `copy`, unless it holds only numbers, codes and tokens;
@@ -21,15 +22,20 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import mojibake, residue
+from lexiloom.llm import languages, mojibake, residue
 from lexiloom.llm.common import map_columns, spread, table
+from lexiloom.llm.languages import Classifier
+from lexiloom.llm.tiling import tiling
 
 #: Least number of pairs of a kind for its own usual length; rarer kinds take that of their script and language.
 LEAST_PAIRS = 8
-#: An answer below SHORT of the usual length is truncated; below SUSPECT it is where units are missing or left open.
-SHORT, SUSPECT = 0.5, 0.72
-#: Least length of a tile in tokens, and least share of both sides that tiles must cover in a copy.
-TILE, COVERED = 2, 0.9
+#: An answer below SUSPECT of the usual length is truncated where the parser sees a sign of it, below CERTAIN where it sees two; below SHORT
+#: without any sign.
+SHORT, SUSPECT, CERTAIN = 0.5, 0.72, 0.9
+#: Least length of a tile in letters, and least share of both sides that tiles must cover in a copy.
+TILE, COVERED = 5, 0.9
+#: Bound on the sample that the language classifiers are fitted on; least confidence that another language needs.
+SAMPLE_ROWS, CONFIDENT = 8000, 0.7
 
 # Refusal grammars, as declining phrase and its object in either order.
 REFUSAL = [
@@ -45,10 +51,6 @@ REFUSAL = [
         r"(?:tidak (?:dapat|bisa|mampu)|menolak|harus menolak)[^.]{0,40}(?:menerjemahkan|terjemahan|permintaan|teks ini|konten|menjawab)",
     )
 ]
-# Function words, field names and common nouns that tell English from Indonesian.
-ENGLISH = set("the of to and in a an is at for with you your not be will only that this on from has i it are by who do no one each sent until while before after name price weight attack defense speed durability accuracy evasion required level inner power origin sword blade bow spear armor helmet boots ring necklace amulet token shard elixir pouch manual chest".split())
-INDONESIAN = set("yang di dan untuk dari dengan ke pada ini itu akan tidak adalah milik bagi lalu setelah sebelum saat oleh atau sudah telah hanya aku kuda dalam para seorang jika nama harga berat serangan pertahanan kecepatan ketahanan akurasi elakan tingkat minimum tenaga asal pedang golok busur tombak zirah sepatu cincin kalung jimat lencana pecahan ramuan kantong kitab peti".split())
-
 VIET = set(mojibake.VIETNAMESE)
 #: Asides that renderings may leave out.
 ASIDE = re.compile(r"\([^()\n]*\)|（[^（）\n]*）|“[^“”\n]*”|«[^«»\n]*»")
@@ -56,6 +58,9 @@ HAN = re.compile("[㐀-鿿]")
 WORD = re.compile(r"[㐀-鿿]|[^\W\d_]+|\d+")
 NOISE = re.compile(r"[\W_]+")
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "「": "」", "“": "”", "«": "»", "‘": "’"}
+DANGLING = re.compile(r"(?:\.\.\.|…|[(\"“（])\s*$")
+NUMBER = re.compile(r"(?<!\d)(?<![^\s\w(,:.;，：。；])\d+")
+TAG = re.compile(r"<[^<>\n]*>")
 CLOSERS = {v: k for k, v in PAIRS.items()}
 ENDERS = ".!?。！？…"
 STRUCTURE = re.compile(r"```|</?[A-Za-z][^<>]*>|[()\[\]{}（）【】《》「」“”«»\"]|[.!?。！？…]+|[;；\n|]|[^\W_]+", re.S)
@@ -91,53 +96,21 @@ def parse(text: str) -> dict[str, int]:
     return {"units": units + (words > 0), "open": len(stack), "ended": int(words == 0 and ended)}
 
 
-def tiling(a: list[str], b: list[str], least: int = TILE) -> int:
-    """Greedy string tiling: tokens of ``a`` covered by the longest common tiles with ``b``, each token used once."""
-    used_a, used_b = [False] * len(a), [False] * len(b)
-    covered = 0
-    while True:
-        index = defaultdict(list)
-        for j in range(len(b) - least + 1):
-            if not any(used_b[j : j + least]):
-                index[tuple(b[j : j + least])].append(j)
-        best: list[tuple[int, int, int]] = []
-        longest = least
-        for i in range(len(a) - least + 1):
-            if any(used_a[i : i + least]):
-                continue
-            for j in index.get(tuple(a[i : i + least]), ()):
-                k = least
-                while i + k < len(a) and j + k < len(b) and not used_a[i + k] and not used_b[j + k] and a[i + k] == b[j + k]:
-                    k += 1
-                if k > longest:
-                    best, longest = [(i, j, k)], k
-                elif k == longest:
-                    best.append((i, j, k))
-        if not best:
-            return covered
-        for i, j, k in best:
-            if not any(used_a[i : i + k]) and not any(used_b[j : j + k]):
-                used_a[i : i + k] = used_b[j : j + k] = [True] * k
-                covered += k
-
-
 def canon(text: str) -> str:
     return NOISE.sub("", ud.normalize("NFKC", text).casefold())
 
 
 def is_copy(source: str, target: str) -> bool:
+    """Whether tiles of the source, once or more, cover all but a tenth of both sides, formatting aside."""
     s, t = canon(source), canon(target)
     if not s:
         return False
-    if t == s or (len(t) % len(s) == 0 and t == s * (len(t) // len(s))):
+    times = max(1, round(len(t) / len(s)))
+    if t == s * times:  # one tile
         return True
-    if len(t) < 0.85 * len(s):
-        return False
-    a, b = WORD.findall(target.lower()), WORD.findall(source.lower())
-    times = max(1, round(len(a) / max(1, len(b))))
-    if sum((Counter(a) & Counter(b * times)).values()) < COVERED * max(len(a), len(b) * times):
-        return False
-    return tiling(a, b * times) >= COVERED * max(len(a), len(b) * times)
+    need = COVERED * max(len(t), len(s) * times)
+    # Letters that both sides hold are an upper bound of what tiles can cover.
+    return sum((Counter(t) & Counter(s * times)).values()) >= need and tiling(t, s * times, TILE) >= need
 
 
 def code_only(text: str) -> bool:
@@ -145,8 +118,8 @@ def code_only(text: str) -> bool:
     return not HAN.search(text) and not re.search(r"(?<![\w%{<#@$.\-/])[^\W\d_]{3,}(?![\w@/]|-?\d)", text)
 
 
-def language(text: str, wanted: str) -> str | None:
-    """The language of a text where it is surely another than wanted."""
+def language(text: str, wanted: str, classifier: Classifier | None) -> str | None:
+    """The language of a text where it is surely another than wanted: by script, by marks, else by the classifiers."""
     want = wanted.split("-")[0].lower()
     letters = sum(c.isalpha() for c in text)
     han = len(HAN.findall(text))
@@ -154,18 +127,14 @@ def language(text: str, wanted: str) -> str | None:
         return None
     if han > 0.4 * letters:
         return None if want == "zh" else "zh"
-    # A syllable of a name ("Di Shan") is no function word.
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text) if not HAN.search(w) and not (len(w) == 2 and w[0].isupper() and w[1].islower())]
+    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text) if not HAN.search(w)]
     if not words:
         return None
-    marked = sum(any(c in VIET for c in ud.normalize("NFC", w)) for w in words)
-    en, ind = sum(w in ENGLISH for w in words), sum(w in INDONESIAN for w in words)
-    if marked > 0.25 * len(words):
+    if sum(any(c in VIET for c in ud.normalize("NFC", w)) for w in words) > 0.25 * len(words):
         got = "vi"
-    elif ind > en:
-        got = "id"
-    elif en:
-        got = "en"
+    elif classifier:
+        got, confidence, ambiguous = classifier.decode(words)
+        got = "?" if ambiguous or confidence < CONFIDENT or got == "zh" else got
     else:
         got = "?"
     if want == "zh":
@@ -187,8 +156,9 @@ def kind_of(source: str) -> str:
 class Judge:
     """``usual`` has the median ratio of letters by (script, language, kind), and by (script, language) for rare kinds; else pairs give it."""
 
-    def __init__(self, pairs: list[tuple[str, str, str]], protected: list[str], usual: dict[tuple[str, ...], float] | None = None) -> None:
+    def __init__(self, pairs: list[tuple[str, str, str]], protected: list[str], usual: dict[tuple[str, ...], float] | None = None, classifier: Classifier | None = None) -> None:
         self.protected = re.compile("|".join(f"(?i:{p})" for p in protected)) if protected else None
+        self.classifier = classifier
         ratios = defaultdict(list)
         for key, ratio in filter(None, (self.measure(*p) for p in pairs)):
             ratios[key].append(ratio)
@@ -199,7 +169,7 @@ class Judge:
         """The kind of a pair and its ratio of letters, where it tells the usual length."""
         s, t = self.clean(source), self.clean(target)
         a, b = letters(s), letters(t)
-        return (self._key(s, lang), b / a) if a > 3 and b and not language(t, lang) else None
+        return (self._key(s, lang), b / a) if a > 3 and b and not language(t, lang, None) else None
 
     def clean(self, text: str) -> str:
         return self.protected.sub(" ", text) if self.protected else text
@@ -208,21 +178,23 @@ class Judge:
     def _key(source: str, lang: str) -> tuple[str, str, str]:
         return ("zh" if len(HAN.findall(source)) > 0.3 * max(1, sum(map(str.isalpha, source))) else "latin", lang, kind_of(source))
 
-    def truncated(self, source: str, target: str, lang: str) -> bool:
+    def truncated(self, source: str, target: str, lang: str) -> str | None:
+        """``parser`` or ``length``, by what an answer shows itself cut off, else null."""
         s, t = self.clean(ud.normalize("NFC", source)), self.clean(target)
         key = self._key(s, lang)
         usual = self.usual.get(key) or self.usual.get(key[:2])
         a, b = letters(s), letters(t)
         if not usual or a <= 3:
-            return False
+            return None
         share = b / a / usual
-        # Where the rest of a line is cut, the length alone tells; a name's rendering varies too much.
-        if share < SHORT:
-            return True
-        if share >= SUSPECT or key[2] == "name":
-            return False
-        p, q = parse(source), parse(target)
-        return q["units"] < p["units"] or q["open"] > p["open"] or (p["ended"] and not q["ended"]) or bool(re.search(r"(?:\.\.\.|…|[(\"“（])\s*$", t))
+        if share >= CERTAIN:
+            return None
+        s, t = (ASIDE.sub(" ", TAG.sub(" ", ud.normalize("NFKC", x))) for x in (s, t))  # renderings may leave asides out
+        p, q = parse(s), parse(t)
+        signs = [q["units"] < p["units"], q["open"] > p["open"] or bool(DANGLING.search(t)) and not DANGLING.search(s), bool(p["ended"]) and not q["ended"], bool(Counter(NUMBER.findall(s)) - Counter(NUMBER.findall(t)))]
+        if sum(signs) >= 2 or (any(signs) and share < SUSPECT):
+            return "parser"
+        return "length" if share < SHORT else None
 
     def __call__(self, source: str | None, target: str | None, lang: str | None) -> str | None:
         if target is None or not any(map(str.isalnum, target)):
@@ -235,14 +207,14 @@ class Judge:
             return None
         if source and is_copy(source, target):
             return "copy"
-        if lang and language(self.clean(target), lang):
+        if lang and language(self.clean(target), lang, self.classifier):
             return "language"
         if source and lang and self.truncated(source, target, lang):
             return "truncated"
         return None
 
 
-def judge(spark: SparkSession, sf_dir: str) -> Judge:
+def judge(spark: SparkSession, sf_dir: str, classifier: Classifier | None = None) -> Judge:
     """The judge with the usual lengths of all pairs; medians come from a sketch whose error in rank is at most 1 in 10,000."""
     memory = table(spark, sf_dir, "translation_memory").where("source_text is not null and target_text is not null and target_lang is not null")
     protected = residue.protected_patterns(spark, sf_dir)
@@ -255,12 +227,20 @@ def judge(spark: SparkSession, sf_dir: str) -> Judge:
     ratios = map_columns(spread(memory.select("source_text", "target_text", "target_lang")), run, "script string, lang string, kind string, ratio double")
     medians = ratios.rollup("script", "lang", "kind").agg(F.percentile_approx("ratio", 0.5, 10000).alias("usual"), F.count(F.lit(1)).alias("n"))
     rows = medians.where((F.col("n") >= LEAST_PAIRS) & F.col("lang").isNotNull()).collect()
-    return Judge([], protected, {(r.script, r.lang, *([r.kind] if r.kind else [])): r.usual for r in rows})
+    return Judge([], protected, {(r.script, r.lang, *([r.kind] if r.kind else [])): r.usual for r in rows}, classifier)
+
+
+def fitted_classifier(spark: SparkSession, sf_dir: str) -> Classifier:
+    """The classifiers of problem 6, fitted on a bounded sample of records, and of targets and sources by their languages."""
+    memory = table(spark, sf_dir, "translation_memory")
+    texts = memory.select("tm_id", F.explode(F.array(F.struct(F.col("target_text").alias("t"), F.col("target_lang").alias("l")), F.struct(F.col("source_text").alias("t"), F.col("source_lang").alias("l")))).alias("x"))
+    picked = residue.sample(texts.where("x.t is not null and x.l is not null"), "tm_id", SAMPLE_ROWS).select("x.t", "x.l").collect()
+    return languages.fitted([*languages.labelled_records(spark, sf_dir), *sorted((r.t, languages.base_label(r.l)) for r in picked)])
 
 
 def defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tm_id, defect) of every defective pair."""
-    shared = spark.sparkContext.broadcast((judge(spark, sf_dir), residue.model(spark, sf_dir), mojibake.repairer(spark, sf_dir)))
+    shared = spark.sparkContext.broadcast((judge(spark, sf_dir, fitted_classifier(spark, sf_dir)), residue.model(spark, sf_dir), mojibake.repairer(spark, sf_dir)))
     memory = table(spark, sf_dir, "translation_memory").select("tm_id", "source_text", "target_text", "target_lang")
 
     def run(tm_id: list, source_text: list, target_text: list, target_lang: list) -> dict[str, list]:

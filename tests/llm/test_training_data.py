@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import random
 import re
+import time
 import unicodedata as ud
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -196,6 +197,55 @@ def test_parser_and_tiling():
     assert pair_defects.tiling(a, b, 3) == 7 and pair_defects.tiling(a, list("aabb"), 3) == 0
 
 
+def test_tiling_equals_brute_force():
+    def brute(a, b, least):
+        used_a, used_b, covered = [False] * len(a), [False] * len(b), 0
+        while True:
+            best, tiles = 0, []
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
+                        k += 1
+                    if k >= best:
+                        best, tiles = k, [*(tiles if k == best else []), (i, j)]
+            if best < least:
+                return covered
+            for i, j in tiles:
+                if not any(used_a[i : i + best]) and not any(used_b[j : j + best]):
+                    used_a[i : i + best] = used_b[j : j + best] = [True] * best
+                    covered += best
+
+    rnd = random.Random(1)
+    same = 0
+    for _ in range(150):
+        a, b = (rnd.choices("abcdefghijkl"[: rnd.choice([3, 12])], k=rnd.randrange(30)) for _ in range(2))
+        got, want = pair_defects.tiling(a, b, 2), brute(a, b, 2)
+        assert abs(got - want) <= 4  # tiles of one length may be laid in another order
+        same += got == want
+    assert same >= 140
+
+
+def test_tiling_of_a_chant_is_quick():
+    start = time.time()
+    assert pair_defects.tiling(["ha"] * 20_000, ["ha"] * 19_990) == 19_990
+    assert pair_defects.tiling(["ha", "ho"] * 10_000, ["ha", "ho", "hi"] * 7000) >= 14_000
+    assert time.time() - start < 5
+
+
+def test_altered_copies(judge):
+    changed = SOURCE.replace("nhanh gấp 5", "chậm 5")
+    assert judge(SOURCE, changed, "zh-CN") == "copy" and judge(SOURCE, SOURCE[:60], "vi") != "copy"
+
+
+def test_cut_answers_show_it(judge):
+    whole = "虎狼的马比豹松驿站的马快3倍。梅云的马比菊梅驿站的马快5倍。"
+    assert judge.truncated(SOURCE, whole, "zh-CN") is None
+    assert judge.truncated(SOURCE, whole[:22], "zh-CN") == "parser" and judge.truncated(SOURCE, "虎狼的马（", "zh-CN") == "parser"
+    assert judge.truncated(SOURCE + " (± 5%)", whole, "zh-CN") is None
+    assert judge.truncated("Ngựa của Hổ Lang chạy rất nhanh trên đường núi xa xôi", "虎狼", "zh-CN") == "length"
+
+
 # Problem 5.
 
 CLEAN = ["Nghe tiếng chuông thứ ba, kẻ phản bội đã mở cổng Đài Hải Vũ cho hồ ly, phần thưởng sẽ gửi qua thư.", "从去年秋天起，叛徒勇勇为山贼打开了江白谷的大门，奖励将通过邮件发放。", "Để chuộc lại lỗi lầm, mỗi ngày Thủy Thiên chỉ bán 88 Dây chuyền tại chợ Lâm Tử Lam."]
