@@ -91,3 +91,17 @@ def first_of_group(df: DataFrame, keys: list[str], id_col: str, salts: int = SAL
     )
     return rows.join(whole, [*keys, "_salt"]).drop("_salt")
 
+
+def settled(df: DataFrame) -> DataFrame:
+    """A table that is written once into the shared folder that spark.checkpoint.dir names, and read from there.
+
+    Where the setting is unset, as in tests, a folder of this machine takes its place.
+    """
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -19,15 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import first_of_group, salt_of, table
+from lexiloom.llm.common import first_of_group, salt_of, settled, table
 
 #: What formatting may change: punctuation, symbols, blanks and control characters. U+FFFD stands for a lost letter.
 NOISE = r"[\p{P}\p{S}\p{Z}\p{C}\s&&[^\x{FFFD}]]+"
 #: Signs between two fields, and between a field's name and its value.
 BETWEEN = r"[;；,，、|\n\r{}]+"
 CELL = r"^[\s\p{P}\p{S}]*([\p{L}][\p{L}\s]{0,39}?)[\s\"”]*[:：=\-][\s\"“]*([^\s\"“].*)$"
-#: A named value is short; lines of dialogue ("speaker: sentence") are not named fields.
-MAX_VALUE, MAX_WORDS, LEAST_FIELDS = 60, 8, 3
+#: Lines of dialogue ("speaker: sentence") are not named fields: most values are short, that is of so many characters and words at most,
+#: and both of two, neither of which ends like a sentence. A field's name has 40 letters at most (CELL).
+MAX_VALUE, MAX_WORDS, LEAST_FIELDS = 60, 8, 2
+SENTENCE_END = r"[.!?…。！？][\s\p{Z}\p{Pf}\p{Pe}\"']*$"
 #: Times a repeated cell may be in the dictionary, so that a hot one is looked up in as many tasks.
 CELL_SALTS = 16
 
@@ -40,7 +42,8 @@ def fields_of(text: Column) -> Column:
     """Array of (name, value) as stored, or null where the text isn't a list of named fields."""
     parts = F.filter(F.split(text, BETWEEN), lambda p: p.rlike(r"[\p{L}\p{N}\x{FFFD}]"))
     cells = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, CELL, 1).alias("f"), F.regexp_extract(p, CELL, 2).alias("v")))
-    ok = F.forall(cells, lambda c: (F.length(c.f) > 0) & (F.length(c.v) <= MAX_VALUE) & (F.size(F.split(F.trim(c.v), r"\s+")) <= MAX_WORDS))
+    ok = F.forall(cells, lambda c: F.length(c.f) > 0) & (2 * F.size(F.filter(cells, lambda c: (F.length(c.v) <= MAX_VALUE) & (F.size(F.split(F.trim(c.v), r"\s+")) <= MAX_WORDS))) > F.greatest(F.size(cells), F.lit(3)))
+    ok = ok & ((F.size(cells) > 2) | F.forall(cells, lambda c: ~c.v.rlike(SENTENCE_END)))
     names = F.transform(cells, lambda c: canonical(c.f))
     first = text.rlike(r"^[\s\p{P}\p{S}]*[\p{L}][\p{L} \t]{0,39}?[\s\"”]*[:：=\-]")
     return F.when(first, F.when((F.size(cells) >= LEAST_FIELDS) & ok & (F.size(F.array_distinct(names)) == F.size(names)), cells))
@@ -51,7 +54,7 @@ def _ids(cell: Column) -> Column:
 
 
 def encode(records: DataFrame) -> DataFrame:
-    """(tbl, id, text) to (tbl, id, key): key is the sorted array of the record's integer cell identifiers."""
+    """(tbl, id, text) to (tbl, id, key): key stands for the sorted array of the record's integer cell identifiers, in 128 bits."""
     whole = F.array(F.struct(F.lit("").alias("f"), F.col("text").alias("v")))
     rows = records.where(F.col("text").rlike(r"[^\p{P}\p{S}\p{Z}\p{C}\s]|\x{FFFD}")).withColumn("cells", fields_of(F.col("text")))
     cells = (
@@ -64,12 +67,12 @@ def encode(records: DataFrame) -> DataFrame:
     name, value = F.substring_index("cell", "\x01", 1), F.expr("substr(cell, instr(cell, '\x01') + 1)")
     book = book.select(_ids(F.col("cell")).alias("raw"), "salt", _ids(F.concat(canonical(name), F.lit("\x01"), canonical(value))).alias("cid"))
     coded = cells.select("tbl", "id", "rec", "salt", _ids(F.col("cell")).alias("raw")).join(book, ["raw", "salt"])
-    return coded.groupBy("tbl", "id", "rec").agg(F.sort_array(F.collect_set("cid")).alias("key")).select("tbl", "id", "key")
+    return coded.groupBy("tbl", "id", "rec").agg(F.sort_array(F.collect_set("cid")).alias("key")).select("tbl", "id", _ids(F.col("key")).alias("key"))
 
 
 def copies(records: DataFrame) -> DataFrame:
-    """Rows of (tbl, id, first_id, n_copies) for every record in a group of two or more."""
-    return first_of_group(encode(records), ["tbl", "key"], "id").select("tbl", "id", "first_id", "n_copies")
+    """Rows of (tbl, id, first_id, n_copies) for every record in a group of two or more. The narrow encoded table is written once, as it is read twice."""
+    return first_of_group(settled(encode(records)), ["tbl", "key"], "id").select("tbl", "id", "first_id", "n_copies")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Method: positive-unlabelled naive Bayes, fitted by expectation-maximisation from trusted residue (the short list below
 and what its patterns find in a bounded sample) against everything else, unlabelled. Two such models score the
-passages of a record: one its sentences, one its bracketed spans. The record's decision adds them up: it is residue if a
-span is an unfilled slot, or if sentences of residue hold about half of its letters (SHARE).
+passages of a record: one its sentences, one its bracketed spans. The record's decision adds them up: it is residue if the model
+takes a span for an unfilled slot, or if sentences of residue hold about half of its letters (SHARE). Patterns and phrases
+label passages for the fit and decide nothing. Expectation-maximisation stops early (MOST_ROUNDS): run to its end, it takes
+the most frequent kind of content, item cards, for residue.
 
 Defined results: null and blank texts are no cases. A record of which residue holds less than SHARE is none. Runtime
 tokens of protected_patterns are removed first and never count. A target that renders a source of the same nature is
@@ -25,15 +27,16 @@ from lexiloom.llm.common import map_columns, spread, table
 
 #: Bound on the sample that the models are fitted on, in records of each table.
 SAMPLE_RECORDS = 4000
-#: Weight of a trusted passage against an unlabelled one, iterations, least log-odds, least share of a record's letters.
-TRUST, ROUNDS, MARGIN, SHARE = 4.0, 4, 1.0, 0.4
+#: Weight of a trusted passage against an unlabelled one, least log-odds, least share of a record's letters.
+TRUST, MARGIN, SHARE = 4.0, 1.0, 0.4
+#: Words of a span from which on only its signs and its length count.
+WORDS = 12
+#: Change of a posterior below which the fit has converged; rounds after which a fit that swings is taken as it is.
+CONVERGED, MOST_ROUNDS = 1e-3, 4
 #: Both classes are smoothed towards the words of all passages with so many counts; log-odds of a word never seen.
 PRIOR, UNKNOWN = 60.0, -2.0
 #: Sum of positive log-odds, and its share of all, from which a source counts as being about the same as a target of residue.
 ALIKE, ALIKE_SHARE = 6.0, 0.3
-#: Characters of a span whose trusted wording decides alone.
-NOTE = 40
-
 # Trusted sentences of residue.
 TRUSTED = """
 404 Not Found. The page you asked for is gone or was moved.
@@ -113,10 +116,16 @@ SLOT_WORDS = re.compile(
     r"|待填写|待翻译|待补|请输入|此处插入|占位|物品名称|未翻译|isi nama|masukkan|teks anda|nama barang|belum diterjemahkan|di sini",
     re.I,
 )
+# Spans that are trusted to be slots.
+TRUSTED_SPANS = (
+    "{{item_name}}", "${player}", "<%= date %>", "[[guild]]", "%%PRICE%%", "__SERVER__", "#REWARD#", "TODO", "TBD", "XXXX", "____", "{item_name}", "{user.nick}", "@@boss@@", "<<npc_name>>", "{{ very_long_name_of_a_slot }}",
+    "<insert name here>", "[insert text]", "<your text>", "[your text here]", "[text goes here]", "<item name>", "[translate me]", "(placeholder)", "[untranslated]", "[chèn tên tại đây]", "[điền nội dung]", "<nhập tên>", "[mô tả ở đây]", "<tên vật phẩm>",
+    "[cần dịch]", "[chưa dịch]", "【待填写】", "【待翻译】", "【待补】", "【请输入】", "【此处插入】", "【占位】", "<物品名称>", "【未翻译】", "[isi nama di sini]", "<masukkan nama>", "[teks anda]", "<nama barang>", "[belum diterjemahkan]",
+)
 SPANS = re.compile(
-    r"\{\{[^{}]{1,80}\}\}|\$\{[^{}]{1,80}\}|\{[^{}]{1,80}\}|<%[^<>]{1,80}%>|<<[^<>]{1,80}>>|<[^<>{}\n]{1,80}>|\[\[[^\[\]]{1,80}\]\]|\[[^\[\]\n]{1,80}\]"
-    r"|【[^【】\n]{1,80}】|《[^《》\n]{1,80}》|\([^()\n]{1,80}\)|（[^（）\n]{1,80}）|%%[A-Za-z][A-Za-z_.]{2,40}%%|__[A-Za-z][A-Za-z_.]{1,40}__|#[A-Z][A-Z_.]{2,40}#"
-    r"|STR_[A-Z_]+_?\d*|(?<![A-Z])(?:TODO|TBD|FIXME)(?![A-Z])|(?<![A-Za-z])(?:X{4,}|x{3,}(?:_x{3,})+)(?![A-Za-z])|@@[A-Za-z][A-Za-z_. ]{1,40}@@|_{4,}"
+    r"\{\{[^{}]+\}\}|\$\{[^{}]+\}|\{[^{}]+\}|<%[^<>]+%>|<<[^<>]+>>|<[^<>{}\n]+>|\[\[[^\[\]]+\]\]|\[[^\[\]\n]+\]"
+    r"|【[^【】\n]+】|《[^《》\n]+》|\([^()\n]+\)|（[^（）\n]+）|%%[A-Za-z][A-Za-z_.]{2,}%%|__[A-Za-z][A-Za-z_.]+__|#[A-Z][A-Z_.]{2,}#"
+    r"|STR_[A-Z_]+_?\d*|(?<![A-Z])(?:TODO|TBD|FIXME)(?![A-Z])|(?<![A-Za-z])(?:X{4,}|x{3,}(?:_x{3,})+)(?![A-Za-z])|@@[A-Za-z][A-Za-z_. ]+@@|_{4,}"
 )
 #: Anything that SPANS can begin with: texts without it need no search.
 SPAN_HINT = re.compile(r"[{<\[【《(（]|%%|__|@@|#[A-Z]|STR_|TODO|TBD|FIXME|XXXX|xxx_")
@@ -148,8 +157,10 @@ def span_tokens(span: str) -> list[str]:
     left, inner, right = (m[1], m[2], m[3]) if m else ("", span, "")
     out = ["<" + left.strip()[:3], ">" + right.strip()[-3:]]
     out.append("s:" + ("snake" if re.fullmatch(r"[a-z]+(?:[_.][a-z]+)+", inner) else "upper" if re.fullmatch(r"[A-Z]+(?:_[A-Z]+)+", inner) else "word" if re.fullmatch(r"[a-z]+", inner) else "number" if re.fullmatch(r"[\d\W]+", inner) else "text"))
-    out += ["c:" + ch for ch in set(inner) & set('@":=;,%|/')]
-    return out + ["w:" + w for w in tokens(inner.replace("_", " "))]
+    out += ["c:" + ch for ch in sorted(set(inner) & set('@":=;,%|/'))]
+    words = tokens(inner.replace("_", " "))
+    # Brackets around a whole record or sentence: its words are content and would drown those of slots.
+    return out + (["w:" + w for w in words] if len(words) <= WORDS else ["s:long"])
 
 
 def fit(trusted: Iterable[list[str]], unlabelled: Iterable[list[str]]) -> tuple[dict[str, float], float]:
@@ -169,7 +180,7 @@ def fit(trusted: Iterable[list[str]], unlabelled: Iterable[list[str]]) -> tuple[
     total = sum(every.values()) or 1
     words: dict[str, float] = {}
     prior = 0.0
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         one, zero, n1, n0 = Counter(), Counter(), 1.0, 1.0
         for c in pos:
             n1 += TRUST
@@ -185,9 +196,12 @@ def fit(trusted: Iterable[list[str]], unlabelled: Iterable[list[str]]) -> tuple[
         words = {w: math.log((one[w] + PRIOR * n / total) / (t1 + PRIOR)) - math.log((zero[w] + PRIOR * n / total) / (t0 + PRIOR)) for w, n in every.items()}
         words[""] = UNKNOWN
         prior = math.log(n1 / n0)
-        for i, (c, _) in enumerate(kinds):
+        before, weight = weight, []
+        for c, _ in kinds:
             s = prior + sum(words[w] * k for w, k in c.items())
-            weight[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
+            weight.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
+        if max((abs(a - b) for a, b in zip(before, weight, strict=True)), default=0.0) < CONVERGED:
+            break
     return words, prior
 
 
@@ -207,7 +221,7 @@ class Model:
                 (pos if tuple(t) in known or FILLER.search(s) else un).append(t)
             if FILLER.search(clean) and len(clean) < 400:
                 pos.append(tokens(clean))
-        slot += [span_tokens(s) for s in ("{{item_name}}", "${player}", "<%= date %>", "[[guild]]", "%%PRICE%%", "__SERVER__", "#REWARD#", "TODO", "TBD", "XXXX", "____", "{item_name}", "{user.nick}", "<insert name here>")]
+        slot += [span_tokens(s) for s in TRUSTED_SPANS]
         self.sentence, self.span = fit(pos, un), fit(slot, span)
 
     def clean(self, text: str) -> str:
@@ -230,11 +244,11 @@ class Model:
         return prior + sum(words.get(w, unknown) for w in toks)
 
     def slot(self, text: str) -> bool:
-        return any(bool(SLOT_FORM.match(s)) or (len(s) <= NOTE and bool(SLOT_WORDS.search(s))) or self.odds(self.span, span_tokens(s)) > MARGIN for s in self.spans(text))
+        return any(self.odds(self.span, span_tokens(s)) > MARGIN for s in self.spans(text))
 
     def whole(self, clean: str) -> bool:
         """Whether residue holds more than SHARE of the letters; stops as soon as content holds the rest."""
-        size = sum(map(str.isalnum, clean)) if len(clean) < 4000 else len(clean)
+        size = sum(map(str.isalnum, clean))
         bad = good = 0
         for s in sentences(clean):
             n = sum(map(str.isalnum, s))
@@ -242,9 +256,9 @@ class Model:
                 bad += n
             else:
                 good += n
-                if good > (1 - SHARE) * size:
+                if good >= (1 - SHARE) * size:
                     return False
-        return bad > SHARE * max(1, bad + good)
+        return bad > SHARE * size
 
     def decide(self, text: str | None, source: str | None = None) -> str | None:
         """``slot``, ``page`` or null."""
@@ -296,7 +310,7 @@ def protected_patterns(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, rec_key, residue) of every record; residue is null for content."""
+    """(tbl, rec_key, text, residue) of every record; residue is null for content."""
     fitted = spark.sparkContext.broadcast(model(spark, sf_dir))
     docs, memory = table(spark, sf_dir, "documents"), table(spark, sf_dir, "translation_memory")
     rows = spread(docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_key"), "text", F.lit(None).cast("string").alias("source"))).unionByName(
@@ -305,9 +319,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def score(tbl: list, rec_key: list, text: list, source: list) -> dict[str, list]:
         decide = fitted.value.decide
-        return {"tbl": tbl, "rec_key": rec_key, "residue": [decide(t, s) for t, s in zip(text, source, strict=True)]}
+        return {"tbl": tbl, "rec_key": rec_key, "text": text, "residue": [decide(t, s) for t, s in zip(text, source, strict=True)]}
 
-    return map_columns(rows, score, "tbl string, rec_key string, residue string")
+    return map_columns(rows, score, "tbl string, rec_key string, text string, residue string")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,8 +329,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of the records that are free of residue."""
-    return decisions(spark, sf_dir).where("residue is null and rec_key is not null").select("tbl", "rec_key").distinct()
+    """The records that are free of residue."""
+    return decisions(spark, sf_dir).where("residue is null and rec_key is not null").select("tbl", "rec_key", "text")
 
 
 QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean}

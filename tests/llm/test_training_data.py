@@ -95,6 +95,15 @@ def test_copies_equal_brute_force(spark, tmp_path):
     assert sorted(n for t, _, n in rows(format_copies.p1_collapsed(spark, d), "tbl", "first_id", "n_copies") if t == "documents") == sorted(sizes.values())
 
 
+def test_named_fields_of_any_number(spark, tmp_path):
+    two = ["Name: Wan Bow; Price: 5", "Price: 5 | name: Wan Bow"]
+    long = ["Tên: Đao Lam; Mô tả: do một thợ già rèn suốt mười hai năm; Giá: 5; Nội lực: 9", "Giá: 5\nNội lực: 9\nMô tả: do một thợ già rèn suốt mười hai năm\nTên: Đao Lam"]
+    swapped = ["Tên: Đao; Giá: 5; Độ bền: 70", "Tên: Đao; Giá: 70; Độ bền: 5"]
+    talk = ["An: hôm nay ta đi qua núi này để tìm Bình, rồi về.\nBình: ta đã chờ ngươi ở đây suốt mười năm trời.", "Bình: ta đã chờ ngươi ở đây suốt mười năm trời.\nAn: hôm nay ta đi qua núi này để tìm Bình, rồi về."]
+    docs = [{"doc_id": i, "text": t} for i, t in enumerate(two + long + swapped + talk)]
+    assert rows(format_copies.p1_found(spark, make(spark, tmp_path, documents=docs)), "first_id", "copy_id") == [(0, 1), (2, 3)]
+
+
 # Problem 2.
 
 
@@ -121,6 +130,16 @@ def test_residue_of_a_source_that_says_the_same(residue_model):
     assert residue_model.decide("Máy chủ đang bận, vui lòng thử lại sau", "闭关之前，松仁的马快3倍。") == "page"
 
 
+@pytest.mark.parametrize("text", ["Mở {{ " + "x" * 90 + " }} ngay", "Dùng ${phần thưởng} để mở", "@@quest_giver@@", "đến [chèn số tại đây]", "<your name>"])
+def test_slots_by_the_model(residue_model, text):
+    assert residue_model.decide(text) == "slot"
+
+
+@pytest.mark.parametrize("text", ["[Nhiệm vụ] mở cổng", "(" + "Trong hang có sói. " * 20 + ")", "《三国》"])
+def test_meant_brackets(residue_model, text):
+    assert residue_model.decide(text * 2) is None
+
+
 # Problem 3.
 
 
