@@ -105,3 +105,18 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def code_points(df: DataFrame, column: str) -> dict[str, int]:
+    """How often every code point occurs in a column, ASCII included: counted by batches of texts, one row a code point and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, 10_000):
+                text = "".join(t for t in part.column(0).to_pylist() if t)
+                n = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=1)
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["c", "n"])
+
+    rows = df.select(column).mapInArrow(run, "c int, n bigint").groupBy("c").agg({"n": "sum"}).collect()
+    return {chr(r[0]): r[1] for r in rows}

@@ -8,8 +8,8 @@ The classifiers are fitted on a bounded sample of labelled records (their labels
 bear that) and on the same Vietnamese texts without their marks. All records are classified, every one whole.
 
 Defined results: records without a sentence (null, empty, only tokens, numbers or signs) have no language and are no cases;
-nor are garbled ones. Bracketed or quoted asides and fragments of fewer than MIN_WORDS words belong to the sentence before
-them. Repeated rows give one case per id and segment.
+nor are garbled ones. Bracketed or quoted asides, names and fragments of fewer than MIN_WORDS words that aren't short
+sentences surely of another language belong to the sentence before them. Repeated rows give one case per id and segment.
 """
 
 from __future__ import annotations
@@ -29,12 +29,15 @@ from lexiloom.llm.common import map_columns, spread, table
 LANGUAGES = ("vi", "zh", "en", "id")
 #: Bound on the sample, longest n-gram, least count of an n-gram, least words (or Han characters) of a sentence.
 SAMPLE_ROWS, LONGEST, LEAST_COUNT, MIN_WORDS, MIN_HAN = 12000, 4, 3, 3, 4
+#: Confidence from which on a fragment of two words or more is a stretch of its own.
+SURE = 0.95
 #: Gap of mean losses under which a sentence is ambiguous; sharpness of the confidence.
 AMBIGUOUS, SHARPNESS = 0.05, 6.0
 
 ASIDE = re.compile(r"\([^()\n]*\)|（[^（）\n]*）|\[[^\[\]\n]*\]|【[^【】\n]*】|“[^“”\n]*”|«[^«»\n]*»|\"[^\"\n]*\"")
 BREAK = re.compile(r"(?<=[。！？])|(?<=[.!?…])(?=\s|$)|\n+|\s[|/]\s")
 WORD = re.compile(r"[㐀-鿿]|[^\W\d_]+")
+ENDERS = ".!?…。！？"
 
 
 def code(k: int) -> list[list[int]]:
@@ -46,7 +49,7 @@ def code(k: int) -> list[list[int]]:
 def grams(word: str) -> list[str]:
     """Character n-grams of a word with its borders, and the word itself."""
     if "㐀" <= word <= "鿿":
-        return ["han"]
+        return ["han", word]
     w = f"^{word}$"
     return [w[i : i + n] for n in range(2, LONGEST + 1) for i in range(len(w) - n + 1)] + [w]
 
@@ -117,28 +120,30 @@ class Labeller:
         self.classifier = classifier
         self.protected = re.compile("|".join(f"(?:{p})" for p in protected)) if protected else None
 
-    def sentences(self, text: str) -> list[list[str]]:
-        """Words of each sentence; fragments go with the sentence before them."""
+    def sentences(self, text: str) -> list[tuple[list[str], bool]]:
+        """Words of each sentence and fragment, and whether it ends like a sentence."""
         text = ASIDE.sub(" ", self.protected.sub(" ", text) if self.protected else text)
-        out: list[list[str]] = []
+        return [(words, part.rstrip()[-1] in ENDERS) for part in BREAK.split(text) if (words := WORD.findall((part or "").lower()))]
+
+    def __call__(self, text: str | None) -> tuple[str | None, float, list[tuple[str, float, bool]]]:
+        """Language of the record (``mixed`` for several), its confidence, and its stretches with theirs and whether they are ambiguous."""
+        found: list[tuple[str, float, bool, int]] = []
         loose: list[str] = []
-        for part in BREAK.split(text):
-            words = WORD.findall((part or "").lower())
+        for words, ended in self.sentences(text) if text else ():
             han = sum("㐀" <= w <= "鿿" for w in words)
-            if han >= MIN_HAN or len(words) - han >= MIN_WORDS:
-                out.append(loose + words)
-                loose = []
-            elif out:
-                out[-1].extend(words)
-            else:
+            got = self.classifier.decode(words)
+            short = han < MIN_HAN and len(words) - han < MIN_WORDS
+            # A fragment goes with the sentence before it, unless it ends like a sentence and is surely of another language.
+            if short and not (found and ended and len(words) > 1 + (han > 0) and got[1] >= SURE and not got[2] and got[0] != found[-1][0]):
+                if found:
+                    continue
                 loose += words
-        return out or ([loose] if loose else [])
-
-    def __call__(self, text: str | None) -> tuple[str | None, float, list[tuple[str, float]]]:
-        """Language of the record (``mixed`` for several), its confidence, and its stretches with theirs."""
-        if not text:
-            return None, 0.0, []
-        found = [(*self.classifier.decode(s), len(s)) for s in self.sentences(text)]
+            else:
+                if loose:
+                    got, loose, words = self.classifier.decode(loose + words), [], loose + words
+                found.append((*got, len(words)))
+        if loose:
+            found.append((*self.classifier.decode(loose), len(loose)))
         if not found:
             return None, 0.0, []
         sure = [x for x in found if not x[2]] or found
@@ -151,11 +156,11 @@ class Labeller:
             if ambiguous:  # follows the sentence before it, or the record's main language
                 lang = runs[-1][0] if runs else last
             if runs and runs[-1][0] == lang:
-                runs[-1][1].append(confidence)
+                runs[-1][1].append((confidence, ambiguous))
             else:
-                runs.append([lang, [confidence]])
-        stretches = [(lang, sum(c) / len(c)) for lang, c in runs]
-        whole = sum(c for _, c in stretches) / len(stretches)
+                runs.append([lang, [(confidence, ambiguous)]])
+        stretches = [(lang, sum(c for c, _ in cs) / len(cs), all(a for _, a in cs)) for lang, cs in runs]
+        whole = sum(c for _, c, _ in stretches) / len(stretches)
         return (stretches[0][0] if len(stretches) == 1 else "mixed"), whole, stretches
 
 
@@ -182,34 +187,41 @@ def labeller(spark: SparkSession, sf_dir: str) -> Labeller:
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, language, seg_no, lang, confidence, mixed): segment 0 is the record, 1, 2, ... its stretches, of every record that isn't garbled."""
+    """(id, language, seg_no, lang, confidence, ambiguous, mixed, garbled): segment 0 is the record, 1, 2, ... its stretches.
+
+    Every record has a segment 0; its lang is null where it holds no sentence. A garbled one is read as it can be restored.
+    """
     shared = spark.sparkContext.broadcast((labeller(spark, sf_dir), mojibake.repairer(spark, sf_dir)))
-    rows = table(spark, sf_dir, "text_records").select("id", "language", "original")
+    rows = table(spark, sf_dir, "text_records").select("id", "language", "original").where("id is not null")
 
     def run(id: list, language: list, original: list) -> dict[str, list]:
         label, repair = shared.value
-        out: dict[str, list] = {"id": [], "language": [], "seg_no": [], "lang": [], "confidence": [], "mixed": []}
+        out: dict[str, list] = {"id": [], "language": [], "seg_no": [], "lang": [], "confidence": [], "ambiguous": [], "mixed": [], "garbled": []}
         for key, given, text in zip(id, language, original, strict=True):
+            garbled, text = repair(text)
             whole, confidence, stretches = label(text)
-            if whole is None or key is None or repair(text)[0]:
-                continue
-            for n, (lang, c) in enumerate([(whole, confidence), *stretches]):
-                for name, x in zip(out, (key, given, n, lang, round(c, 6), len(stretches) > 1), strict=True):
+            for n, (lang, c, unsure) in enumerate([(whole, confidence, all(s[2] for s in stretches)), *stretches]):
+                for name, x in zip(out, (key, given, n, lang, round(c, 6), unsure, len(stretches) > 1, garbled), strict=True):
                     out[name].append(x)
         return out
 
-    return map_columns(spread(rows), run, "id string, language string, seg_no int, lang string, confidence double, mixed boolean")
+    return map_columns(spread(rows), run, "id string, language string, seg_no int, lang string, confidence double, ambiguous boolean, mixed boolean, garbled boolean")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = languages(spark, sf_dir)
+    every = languages(spark, sf_dir).where("lang is not null and not garbled")
     given = F.split(F.lower(F.trim(F.coalesce("language", F.lit("")))), "[-_]")[0]
     return every.where(((F.col("seg_no") == 0) & (given != F.col("lang"))) | ((F.col("seg_no") > 0) & F.col("mixed"))).select("id", "seg_no", "lang").distinct()
 
 
 def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its language and confidence."""
-    return languages(spark, sf_dir).where("seg_no = 0").select("id", "lang", "confidence").distinct()
+    return languages(spark, sf_dir).where("seg_no = 0").select("id", "lang", "confidence", "ambiguous", "garbled").distinct()
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every mixed record with its language and confidence."""
+    return languages(spark, sf_dir).where("seg_no > 0 and mixed").select("id", "seg_no", "lang", "confidence", "ambiguous", "garbled").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_labels": p6_labels}
+QUERIES = {"p6_found": p6_found, "p6_labels": p6_labels, "p6_segments": p6_segments}

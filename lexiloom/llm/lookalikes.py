@@ -21,7 +21,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import map_columns, salt_of, spread, table
+from lexiloom.llm.common import code_points, map_columns, salt_of, spread, table
 
 # Letters of other scripts that look like Latin ones, by Latin letter.
 LETTERS = {
@@ -31,8 +31,6 @@ LETTERS = {
 }
 # Radicals without a compatibility form, with their characters.
 RADICALS = "⺟母⻄西⻅见⻆角⻉贝⻋车⻑長⻓长⻔门⻘青⻙韦⻚页⻛风⻜飞⻝食⻢马⻣骨⻤鬼⻥鱼⻦鸟⻧卤⻨麦⻩黄⻪黾⻬齐⻭歯⻮齿⻯竜⻰龙⻲亀⻳龟"
-#: Passes of the automaton: one takes out invisible signs and foreign letters, the next composes what has come together.
-PASSES = 4
 
 
 class Classes:
@@ -65,7 +63,7 @@ def spellings(letter: str) -> set[str]:
     full = ud.normalize("NFD", letter)
     base, marks = full[0], full[1:]
     out: set[str] = set()
-    if 0 < len(marks) <= 3 and all(map(ud.combining, marks)):
+    if marks and all(map(ud.combining, marks)):
         for order in permutations(marks):
             for k in range(len(order) + 1):
                 head = ud.normalize("NFC", base + "".join(order[:k]))
@@ -83,8 +81,8 @@ def classes(counts: dict[str, int]) -> dict[str, str]:
     # Letters that marks in the texts could compose to count as seen, too.
     marks = [c for c in counts if ud.combining(c)]
     frontier = {c for c in seen if c.isalpha()} | set(LETTERS) | set(foreign)
-    for _ in range(2):
-        frontier = {x for c in frontier for m in marks if len(x := ud.normalize("NFC", foreign.get(c, c) + m)) == 1}
+    while frontier:
+        frontier = {x for c in frontier for m in marks if len(x := ud.normalize("NFC", foreign.get(c, c) + m)) == 1} - seen
         seen |= frontier
     for c in seen:
         kind = ud.category(c)
@@ -133,7 +131,9 @@ class Rewriter:
                 if s:
                     self.automaton.add_word(s, (len(s), to))
             self.automaton.make_automaton()
-        for _ in range(PASSES):
+        # One pass takes out invisible signs and foreign letters, the next composes what has come together, until nothing changes.
+        before = {text}
+        while True:
             out, at = [], 0
             for end, (n, to) in self.automaton.iter_long(text):
                 out += (text[at : end + 1 - n], to)
@@ -141,23 +141,16 @@ class Rewriter:
             if not out:
                 break
             out.append(text[at:])
-            new = "".join(out)
-            if new == text:
+            text = "".join(out)
+            if text in before:
                 break
-            text = new
+            before.add(text)
         return text
 
     def __getstate__(self) -> dict:
         return {"table": self.table, "automaton": None}
 
 
-def code_points(texts: DataFrame, column: str) -> dict[str, int]:
-    """Counts of all code points: ASCII is left out, as it stands for itself."""
-    odd = F.regexp_replace(column, r"[\x00-\x7F]+", "")
-    rows = texts.select(F.explode(F.split(odd, "")).alias("c")).where("c != ''").groupBy("c").count().collect()
-    return {r["c"]: r["count"] for r in rows} | {chr(i): 1 << 60 for i in range(32, 127)}
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     glossary, memory = table(spark, sf_dir, "glossary"), table(spark, sf_dir, "translation_memory")
     return glossary.select(F.concat(F.lit("g:"), F.col("gloss_id").cast("string")).alias("key"), F.col("source").alias("text")).unionByName(
@@ -182,7 +175,7 @@ def _id(text: Column) -> list[Column]:
 
 
 #: Copies of a glossary row, each of which meets a part of the rows with its form.
-COPIES = 8
+COPIES = 64
 
 
 def pairs(forms: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import map_columns, spread, table
+from lexiloom.functions import codecs
+from lexiloom.llm.common import code_points, map_columns, spread, table
 
-#: Layers that are undone at most; bound on the sample from which Vietnamese words are learned, and least count of a word.
-LAYERS, LEAST_WORD = 3, 3
+#: Least count of a Vietnamese word.
+LEAST_WORD = 3
 #: A Han character is known from this many per million code points on; bits of a code point that never occurs.
 KNOWN_PER_MILLION, UNSEEN_BITS = 4.0, 24.0
 #: Bits by which the cost must drop.
@@ -34,16 +35,6 @@ DROP = 4.0
 VIETNAMESE = "àáâãèéêìíòóôõùúýăđĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
 VIETNAMESE += VIETNAMESE.upper()
 MARKS = "\u0300\u0301\u0302\u0303\u0306\u0309\u031b\u0323"
-# The TCVN3 (ABC) character set from byte A1 on; a dot stands for a byte that isn't used.
-TCVN3 = dict(
-    zip(
-        range(0xA1, 0xFF),
-        "ĂÂÊÔƠƯĐăâêôơưđ" "......" "àảãáạ." "ằẳẵắ......." "ặầẩẫấậè.ẻẽéẹềểễếệìỉ...ĩíịò.ỏõóọồổỗốộờởỡớợù.ủũúụừửữứựỳỷỹýỵ",
-        strict=False,
-    )
-)
-
-
 def _single_bytes(*names: str) -> dict[str, int]:
     """Code point to byte of the upper half of single-byte character sets; undefined bytes stand for themselves."""
     out: dict[str, int] = {}
@@ -64,7 +55,7 @@ LOST = re.compile("[�\x80-\x9f-\U000f0000-\U000ffffd]")
 
 
 def _tcvn3() -> dict[str, str]:
-    return {chr(b): c for b, c in TCVN3.items() if c != "."}
+    return {chr(b): c for b, c in codecs.TCVN3.items()}
 
 
 TCVN3_MAP = _tcvn3()
@@ -154,17 +145,23 @@ class Repairer:
 
     def _gbk_parts(self, run: str) -> str:
         """The longest parts, from the left, whose GBK bytes are UTF-8."""
+        raw, ends = bytearray(), [0]
+        for c in run:
+            raw += c.encode("gb18030", "replace")
+            ends.append(len(raw))
+        place = {byte: i for i, byte in enumerate(ends)}
         out, i = [], 0
         while i < len(run):
-            for j in range(min(len(run), i + 40), i, -1):
-                try:
-                    new = run[i:j].encode("gb18030").decode("utf-8")
-                except UnicodeError:
-                    continue
-                if not new.isascii() and len(new) < 2 * (j - i) and self._plausible(new, "utf-8", layered=False):
-                    out.append(new)
-                    i = j
-                    break
+            # How far the bytes from here on are UTF-8; of the places there where a sign of the run ends too, the last.
+            try:
+                stop = len(raw) if bytes(raw[ends[i] :]).decode("utf-8") is not None else 0
+            except UnicodeDecodeError as e:
+                stop = ends[i] + e.start
+            j = next((place[b] for b in range(stop, ends[i], -1) if b in place), i)
+            new = bytes(raw[ends[i] : ends[j]]).decode("utf-8", "ignore")
+            if j > i and not new.isascii() and len(new) < 2 * (j - i) and self._plausible(new, "utf-8", layered=False):
+                out.append(new)
+                i = j
             else:
                 out.append(run[i])
                 i += 1
@@ -177,7 +174,7 @@ class Repairer:
         hits = 0
         new_of: dict[int, tuple[int, str]] = {}
         for m in LATIN_WORD.finditer(text):
-            new = "".join(TCVN3_MAP.get(c, c) for c in m[0])
+            new = ud.normalize("NFC", "".join(TCVN3_MAP.get(c, c) for c in m[0]))
             if new == m[0]:
                 continue
             known = new.lower() in self.words
@@ -218,10 +215,7 @@ class Repairer:
         if not text or not self.odd.search(text):
             return False, text
         new = text
-        for _ in range(LAYERS):
-            step = self.layer(new)
-            if step == new:
-                break
+        while (step := self.layer(new)) != new:  # every layer lowers the cost, so this ends
             new = step
         return new != text or bool(LOST.search(text)), new
 
@@ -237,16 +231,10 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def code_points(rows: DataFrame, column: str) -> dict[str, int]:
-    """Counts of all code points; ASCII in one sum, as its members keep their places in any garbling."""
-    odd = F.regexp_replace(column, r"[\x00-\x7F]+", "")
-    got = rows.select(F.explode(F.split(odd, "")).alias("c")).where("c != ''").groupBy("c").count().collect()
-    return {r["c"]: r["count"] for r in got}
-
-
 def repairer(spark: SparkSession, sf_dir: str) -> Repairer:
     rows = values(spark, sf_dir)
-    counts = code_points(rows, "value")
+    # ASCII letters keep their places in any garbling: they count as one sum, shared out.
+    counts = {c: n for c, n in code_points(rows, "value").items() if c > "\x7f"}
     everything = sum(counts.values()) or 1
     counts |= {chr(i): max(1, everything // 20) for i in range(128)}
     bare = Repairer(counts, set())

@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from lexiloom.functions import codecs
 from lexiloom.llm import format_copies, languages, leaks, lookalikes, mojibake, packing, pair_defects, personal, queries, residue
 from lexiloom.llm.boosting import Boosted
 
@@ -179,6 +180,12 @@ def test_lookalike_classes_are_transitive():
     assert f("\u043e\u0323\u0302 \u0410\u200b") == composed + " A" and f(None) is None and f("plain") == "plain"
 
 
+def test_rewriting_reaches_a_fixed_point():
+    f = lookalikes.Rewriter(lookalikes.classes({"\u0323": 4, "\u0302": 4, "\u0301": 4, "o": 9, "\u200b": 3, "\u043e": 2, "\u00f4": 5}))
+    apart = "o\u200b\u0302\u200b\u0323\u200b x"
+    assert f(apart) == "\u1ed9 x" and f(f(apart)) == f(apart) and f("\u043e\u0302") == "\u00f4"
+
+
 # Problem 4.
 
 
@@ -291,13 +298,35 @@ def test_other_round_trips(repairer):
     assert repairer(CLEAN[1].encode("gbk").decode("latin-1")) == (True, CLEAN[1])
     twice = CLEAN[0].encode().decode("latin-1").encode().decode("latin-1")
     assert repairer(twice) == (True, CLEAN[0])
-    back = {c: chr(b) for b, c in mojibake.TCVN3.items() if c != "."}
+    back = {c: chr(b) for b, c in codecs.TCVN3.items()}
     tcvn = "".join(back.get(c, c) for c in CLEAN[2])
     assert repairer(tcvn)[0] and difflib.SequenceMatcher(None, repairer(tcvn)[1], CLEAN[2]).ratio() > 0.95
     half = CLEAN[0][:40] + CLEAN[0][40:].encode().decode("latin-1")
     assert repairer(half) == (True, CLEAN[0])
 
 
+def test_capitals_with_tones_in_tcvn3(repairer):
+    text = "Từ năm ngoái, ỨNG DỤNG Ồ Ế ấn Ằ: từng người chơi nhận thưởng. " + CLEAN[2]
+    back = {c: chr(b) for b, c in codecs.TCVN3.items() if b > 0xA0}
+    garbled = "".join(back.get(c, c) for c in text)
+    repair = mojibake.Repairer(Counter(c for t in [*CLEAN, text] for c in t * 2000), repairer.words | {w for w in re.findall(r"\w+", text.lower()) if not w.isascii()})
+    found, restored = repair(garbled)
+    assert found and "Ồ Ế" not in garbled and difflib.SequenceMatcher(None, restored, text).ratio() > 0.9
+
+
+def test_four_layers(repairer):
+    garbled = CLEAN[0]
+    for _ in range(4):
+        garbled = garbled.encode().decode("latin-1")
+    assert repairer(garbled) == (True, CLEAN[0])
+
+
+def test_long_stretch_read_as_gbk(repairer):
+    text = "".join(c for c in CLEAN[1] if "\u4e00" <= c <= "\u9fff") * 3
+    text = text[: len(text) - len(text) % 2]
+    assert repairer(text.encode().decode("gb18030", "replace"))[0]
+
+
 @pytest.mark.parametrize("text", [*CLEAN, "Ngựa chạy nhanh. «Crème»", "xong “Señor Ñandú”", "(±5%) ½ §3 • µ ¥120 ©", "Số (Ø 3 ÷ 5)", "", None, "a​b", "服务器繁忙，请稍后重试"])
 def test_meant_signs_are_no_garbling(repairer, text):
     assert repairer(text) == (False, text)
@@ -314,11 +343,24 @@ def test_languages_on_held_out_texts(spark):
     vi = [r["text"] for r in docs if r["lang"] == "vi"]
     assert sum(label(languages.plain(t))[0] == "vi" for t in vi) >= 0.97 * len(vi)
     mixed = f"{vi[0]} / {next(r['text'] for r in docs if r['lang'] == 'zh')}\n{next(r['text'] for r in docs if r['lang'] == 'en')}"
-    assert label(mixed)[0] == "mixed" and [x for x, _ in label(mixed)[2]] == ["vi", "zh", "en"]
+    assert label(mixed)[0] == "mixed" and [x for x, *_ in label(mixed)[2]] == ["vi", "zh", "en"]
     assert label("Ngựa của Hổ Lang chạy nhanh lắm (新松) “Señor Ñandú”.")[0] == "vi"
     assert label("%d {0}")[0] is None and label(None)[0] is None
 
 
+@needs_data
+def test_short_sentences_are_stretches_and_names_are_not(spark):
+    label = languages.labeller(spark, DATA)
+    vi = "Ngựa của Hổ Lang chạy nhanh gấp ba lần ngựa trạm Báo Tùng."
+    assert label(f"{vi} 峄山")[0] == "vi" and [x for x, *_ in label(f"{vi} 快来吧！")[2]] == ["vi", "zh"]
+
+
+@needs_data
+def test_every_record_gets_a_row(spark):
+    labels = languages.p6_labels(spark, DATA)
+    assert labels.select("id").distinct().count() == spark.read.parquet(f"{DATA}/text_records.parquet").where("id is not null").select("id").distinct().count()
+
+
 def test_code_separates_languages():
     code = languages.code(4)
     assert len(code[0]) == 7 and all(sum(a != b for a, b in zip(code[i], code[j], strict=True)) >= 4 for i in range(4) for j in range(i))
