@@ -39,8 +39,13 @@ def s_exchange(c: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(coalesce({c},''), '\\r\\n|\\r', chr(10), 'g'), '^\\$', ''), '(?i)<\\\\n>', chr(10), 'g')"
 
 
+#: What the blueprint calls a blank at the ends of a line, spelled out for the SQL.
+S_BLANK = "\\t\\x0B\\f\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
 def s_key(c: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace({s_exchange(c)}, '[ \\t]+', ' ', 'g'), '(?m)^[ \\t]+|[ \\t]+$', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+    lines = f"regexp_replace(regexp_replace(nfc_normalize({s_exchange(c)}), '[ \\t]+', ' ', 'g'), '(?m)^[{S_BLANK}]+|[{S_BLANK}]+$', '', 'g')"
+    return f"regexp_replace({lines}, '^[\\n{S_BLANK}]+|[\\n{S_BLANK}]+$', '', 'g')"
 
 
 S_CJK = "[\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}]"

@@ -85,7 +85,7 @@ def test_restore_damaged_markers():
 
 def test_template_keeps_required_symbols_inside():
     assert templates.make_template("<b>Tên</b>")[2] == "{P1}{TEXT}{P2}"
-    assert templates.make_template("@Tên")[2] == "{TEXT}"
+    assert templates.make_template("@ Tên")[2] == "{TEXT}"
 
 
 def test_reassemble_accepts_only_clean_segments():
