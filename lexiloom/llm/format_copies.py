@@ -29,6 +29,7 @@ CELL = r"^[\s\p{P}\p{S}]*([\p{L}][\p{L}\s]{0,39}?)[\s\"”]*[:：=\-][\s\"“]*(
 #: Lines of dialogue ("speaker: sentence") are not named fields: most values are short, that is of so many characters and words at most,
 #: and both of two, neither of which ends like a sentence. A field's name has 40 letters at most (CELL).
 MAX_VALUE, MAX_WORDS, LEAST_FIELDS = 60, 8, 2
+COLON = r"^[\s\p{P}\p{S}]*[\p{L}][\p{L}\s]{0,39}?[\s\"”]*[:：=]"
 SENTENCE_END = r"[.!?…。！？][\s\p{Z}\p{Pf}\p{Pe}\"']*$"
 #: Times a repeated cell may be in the dictionary, so that a hot one is looked up in as many tasks.
 CELL_SALTS = 16
@@ -43,7 +44,8 @@ def fields_of(text: Column) -> Column:
     parts = F.filter(F.split(text, BETWEEN), lambda p: p.rlike(r"[\p{L}\p{N}\x{FFFD}]"))
     cells = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, CELL, 1).alias("f"), F.regexp_extract(p, CELL, 2).alias("v")))
     ok = F.forall(cells, lambda c: F.length(c.f) > 0) & (2 * F.size(F.filter(cells, lambda c: (F.length(c.v) <= MAX_VALUE) & (F.size(F.split(F.trim(c.v), r"\s+")) <= MAX_WORDS))) > F.greatest(F.size(cells), F.lit(3)))
-    ok = ok & ((F.size(cells) > 2) | F.forall(cells, lambda c: ~c.v.rlike(SENTENCE_END)))
+    # Two parts of a sentence with hyphens for commas look like two fields.
+    ok = ok & ((F.size(cells) > 2) | (F.forall(cells, lambda c: ~c.v.rlike(SENTENCE_END)) & F.forall(parts, lambda p: p.rlike(COLON))))
     names = F.transform(cells, lambda c: canonical(c.f))
     first = text.rlike(r"^[\s\p{P}\p{S}]*[\p{L}][\p{L} \t]{0,39}?[\s\"”]*[:：=\-]")
     return F.when(first, F.when((F.size(cells) >= LEAST_FIELDS) & ok & (F.size(F.array_distinct(names)) == F.size(names)), cells))

@@ -101,8 +101,9 @@ def test_named_fields_of_any_number(spark, tmp_path):
     long = ["Tên: Đao Lam; Mô tả: do một thợ già rèn suốt mười hai năm; Giá: 5; Nội lực: 9", "Giá: 5\nNội lực: 9\nMô tả: do một thợ già rèn suốt mười hai năm\nTên: Đao Lam"]
     swapped = ["Tên: Đao; Giá: 5; Độ bền: 70", "Tên: Đao; Giá: 70; Độ bền: 5"]
     talk = ["An: hôm nay ta đi qua núi này để tìm Bình, rồi về.\nBình: ta đã chờ ngươi ở đây suốt mười năm trời.", "Bình: ta đã chờ ngươi ở đây suốt mười năm trời.\nAn: hôm nay ta đi qua núi này để tìm Bình, rồi về."]
-    docs = [{"doc_id": i, "text": t} for i, t in enumerate(two + long + swapped + talk)]
-    assert rows(format_copies.p1_found(spark, make(spark, tmp_path, documents=docs)), "first_id", "copy_id") == [(0, 1), (2, 3)]
+    prose = ["Theo lệnh môn phái, ta là U Phật, người giữ cửa của Đài, ngươi từ đâu tới đây", "- Theo lệnh môn phái- ta là U Phật;\nngười giữ cửa của Đài- ngươi từ đâu tới đây"]
+    docs = [{"doc_id": i, "text": t} for i, t in enumerate(two + long + swapped + talk + prose)]
+    assert rows(format_copies.p1_found(spark, make(spark, tmp_path, documents=docs)), "first_id", "copy_id") == [(0, 1), (2, 3), (8, 9)]
 
 
 # Problem 2.
