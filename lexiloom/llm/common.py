@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.operators.shared import settled  # noqa: F401
+
 #: Salts over which one hot key is spread. A key that holds a third of all rows then puts 1/192 of them into a task.
 SALTS = 64
 
@@ -92,21 +94,6 @@ def first_of_group(df: DataFrame, keys: list[str], id_col: str, salts: int = SAL
     return rows.join(whole, [*keys, "_salt"]).drop("_salt")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A table that is written once into the shared folder that spark.checkpoint.dir names, and read from there.
-
-    Where the setting is unset, as in tests, a folder of this machine takes its place.
-    """
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def code_points(df: DataFrame, column: str) -> dict[str, int]:
     """How often every code point occurs in a column, ASCII included: counted by batches of texts, one row a code point and batch."""
 

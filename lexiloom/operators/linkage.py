@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import patterns as P
 from lexiloom.functions import text as X
+from lexiloom.operators.shared import settled
 
 LOCATOR = ["file_hash", "line_no", "col_no"]
 
@@ -209,9 +210,14 @@ def block_join(left: DataFrame, right: DataFrame, blocks: DataFrame) -> DataFram
 
 
 def valid(candidates: DataFrame, left: DataFrame) -> DataFrame:
-    """Candidates that keep the record's tokens, are CJK and differ from it."""
-    rows = candidates.join(left.select("id", F.col("original").alias("_o")).dropDuplicates(["id"]), "id")
-    return rows.where(X.same_tokens(F.col("_o"), F.col("target")) & X.contains_cjk(F.col("target")) & (F.col("target") != F.col("_o"))).drop("_o")
+    """Candidates that keep the record's tokens, are CJK and differ from it; each once.
+
+    Methods often agree, so a target is judged once for all that give it; tokens, which cost most, come last.
+    """
+    pairs = candidates.where(X.contains_cjk(F.col("target"))).groupBy("id", "target").agg(F.collect_set("method").alias("_m"))
+    rows = pairs.join(left.select("id", F.col("original").alias("_o")).dropDuplicates(["id"]), "id")
+    rows = rows.where((F.col("target") != F.col("_o")) & X.same_tokens(F.col("_o"), F.col("target")))
+    return rows.select("id", F.explode("_m").alias("method"), "target")
 
 
 def select_candidates(candidates: DataFrame, methods: tuple[str, ...] = P.METHODS) -> DataFrame:
@@ -229,13 +235,15 @@ def migrate(left: DataFrame, right: DataFrame) -> DataFrame:
     """The methods within files of one hash together: candidates (J14 between primary keys), validation, selection.
 
     What is selected then is the memory (J15) for records without a rendering. The cell joins across files of different hashes
-    (J6, J7, J16) are not part of it.
+    (J6, J7, J16) are not part of it. Both versions and the selection are written once and read from there: each of the methods
+    reads the versions several times, and the memory reads the selection several times, which in one plan is too much for a driver.
     """
+    left, right = settled(left), settled(right)
     methods = (unique_locator, primary_key_join, signature_join, key_join, structure_join, key_occurrence_join, ordinal_join, soft_locator)
     keys = [primary_keys(rows).withColumnRenamed("line_no", line) for rows, line in ((left, "l_line"), (right, "r_line"))]
     anchors = keys[0].join(keys[1], ["file_hash", "row_key"]).select("file_hash", "l_line", "r_line")
     found = reduce(DataFrame.unionByName, [*(m(left, right) for m in methods), gap_join(anchors, left, right)])
-    chosen = select_candidates(valid(found, left))
+    chosen = settled(select_candidates(valid(found, left)))
     texts = left.select("id", "original").distinct()
     done = chosen.where("target is not null")
     memory = one_value(texts.where("trim(original) != ''").join(done, "id"), ["original"], "target", "target")
