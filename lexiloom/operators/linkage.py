@@ -209,15 +209,19 @@ def block_join(left: DataFrame, right: DataFrame, blocks: DataFrame) -> DataFram
     return a.join(cells, ["r_hash", "r_line", "col_no"]).select("id", F.lit("block").alias("method"), "target")
 
 
+def keeps(original: Column, target: Column) -> Column:
+    """Whether a rendering differs from its text, is CJK and keeps its tokens, whose comparison costs most and comes last."""
+    return (target != original) & X.contains_cjk(target) & X.same_tokens(original, target)
+
+
 def valid(candidates: DataFrame, left: DataFrame) -> DataFrame:
     """Candidates that keep the record's tokens, are CJK and differ from it; each once.
 
-    Methods often agree, so a target is judged once for all that give it; tokens, which cost most, come last.
+    Methods often agree, so a target is judged once for all that give it.
     """
     pairs = candidates.where(X.contains_cjk(F.col("target"))).groupBy("id", "target").agg(F.collect_set("method").alias("_m"))
     rows = pairs.join(left.select("id", F.col("original").alias("_o")).dropDuplicates(["id"]), "id")
-    rows = rows.where((F.col("target") != F.col("_o")) & X.same_tokens(F.col("_o"), F.col("target")))
-    return rows.select("id", F.explode("_m").alias("method"), "target")
+    return rows.where(keeps(F.col("_o"), F.col("target"))).select("id", F.explode("_m").alias("method"), "target")
 
 
 def select_candidates(candidates: DataFrame, methods: tuple[str, ...] = P.METHODS) -> DataFrame:
@@ -238,17 +242,17 @@ def migrate(left: DataFrame, right: DataFrame) -> DataFrame:
     (J6, J7, J16) are not part of it. Both versions and the selection are written once and read from there: each of the methods
     reads the versions several times, and the memory reads the selection several times, which in one plan is too much for a driver.
     """
-    left, right = settled(left), settled(right)
+    left, right = (settled(rows.select("id", *LOCATOR, "key_name", "original")) for rows in (left, right))
     methods = (unique_locator, primary_key_join, signature_join, key_join, structure_join, key_occurrence_join, ordinal_join, soft_locator)
     keys = [primary_keys(rows).withColumnRenamed("line_no", line) for rows, line in ((left, "l_line"), (right, "r_line"))]
     anchors = keys[0].join(keys[1], ["file_hash", "row_key"]).select("file_hash", "l_line", "r_line")
     found = reduce(DataFrame.unionByName, [*(m(left, right) for m in methods), gap_join(anchors, left, right)])
     chosen = settled(select_candidates(valid(found, left)))
-    texts = left.select("id", "original").distinct()
-    done = chosen.where("target is not null")
-    memory = one_value(texts.where("trim(original) != ''").join(done, "id"), ["original"], "target", "target")
-    more = texts.join(done.select("id"), "id", "left_anti").join(memory, "original").select("id", F.lit("exact_text_memory").alias("method"), "target")
-    more = select_candidates(valid(more, left))
+    # Texts are dealt out by id once, for their distinct rows as for the join.
+    known = left.select("id", "original").repartition("id").distinct().join(chosen.where("target is not null").select("id", "target"), "id", "left")
+    memory = one_value(known.where("trim(original) != ''"), ["original"], "target", "target")
+    more = known.where("target is null").drop("target").join(memory, "original").where(keeps(F.col("original"), F.col("target")))
+    more = select_candidates(more.select("id", F.lit("exact_text_memory").alias("method"), "target"))
     return chosen.join(more.select("id"), "id", "left_anti").unionByName(more)
 
 
